@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from loresift.llm import mixing
+from loresift.llm import licenses, mixing, token_counts
 
 QUERIES = {
+    "op3_token_counts": token_counts.query,
     "op7_mixing": mixing.query,
+    "op10_license_scan": licenses.query,
 }
 
 ORACLE_SQL = {
     "op7_mixing": mixing.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
 }
