@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loresift.llm import licenses, mixing, token_counts
+from loresift.llm import licenses, mixing, quality, token_counts, token_output
 
 QUERIES = {
     "op3_token_counts": token_counts.query,
+    "op5_token_output": token_output.query,
     "op7_mixing": mixing.query,
+    "op9_quality": quality.query,
     "op10_license_scan": licenses.query,
 }
 

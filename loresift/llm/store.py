@@ -33,6 +33,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return table
 
 
+def expect(spark: SparkSession, path: str) -> None:
+    """Have a folder that the caller writes deleted at the end of the driver."""
+    _written.append((spark, path))
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that materialize() returned and that nothing lazy still reads."""
     _delete(table.sparkSession, table._stored_at)
