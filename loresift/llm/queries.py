@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loresift.llm import licenses, mixing, quality, token_counts, token_output
+from loresift.llm import decontaminate, licenses, mixing, quality, token_counts, token_output
 
 QUERIES = {
     "op3_token_counts": token_counts.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_token_output": token_output.query,
     "op7_mixing": mixing.query,
     "op9_quality": quality.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_license_scan": licenses.ORACLE,
 }
