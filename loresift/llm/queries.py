@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loresift.llm import decontaminate, licenses, mixing, quality, token_counts, token_output
+from loresift.llm import decontaminate, licenses, mixing, quality, simhash, token_counts, token_output
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op3_token_counts": token_counts.query,
     "op4_decontaminate": decontaminate.query,
     "op5_token_output": token_output.query,
