@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loresift.llm import decontaminate, licenses, mixing, quality, simhash, token_counts, token_output
+from loresift.llm import decontaminate, embeddings, licenses, mixing, quality, simhash, token_counts, token_output
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op5_token_output": token_output.query,
     "op7_mixing": mixing.query,
+    "op8_embeddings": embeddings.query,
     "op9_quality": quality.query,
     "op10_license_scan": licenses.query,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op8_embeddings": embeddings.ORACLE,
     "op10_license_scan": licenses.ORACLE,
 }
