@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loresift.llm import decontaminate, embeddings, licenses, mixing, quality, simhash, token_counts, token_output
+from loresift.llm import decontaminate, embeddings, html, licenses, mixing, quality, simhash, token_counts, token_output
 
 QUERIES = {
+    "op2_html": html.query,
     "op1_simhash": simhash.query,
     "op3_token_counts": token_counts.query,
     "op4_decontaminate": decontaminate.query,

@@ -18,34 +18,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct spans that one Python worker remembers; beyond that it forgets all and starts again.
-MEMORY = 400_000
+from loresift.llm.pieces import LETTERS, MARKS, Pieces
+
+#: Pieces of plain spans: a word, number or run of marks with the space before it, or a line end between.
+PIECE = rf" ?[{LETTERS}]++| ?[0-9]++| ?[{MARKS}]++|\n(?=\S)"
 LIMIT = 512
 
 
 class SpanCounter:
-    """Token counts of spans by the tokenizers library, each distinct span encoded once while remembered."""
+    """Token counts of spans by the tokenizers library, each distinct span counted once while remembered."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
         self.uneven = re.compile(r"\s\s|\A\s|\s\Z").search
         self.at_single_space = re.compile(r"(?<=\S) (?=\S)").split
-        self.known: dict[str, int] = {}
-
-    def count(self, spans: list[str]) -> list[int]:
-        known = self.known
-        try:
-            return [known[s] for s in spans]
-        except KeyError:
-            pass
-        if len(known) > MEMORY:
-            known.clear()
-        fresh = list({s for s in spans if s not in known})
-        for s, e in zip(fresh, self.encoder.encode_batch(fresh, add_special_tokens=False), strict=True):
-            known[s] = len(e.ids)
-        return [known[s] for s in spans]
+        self.known = Pieces(path, PIECE, len, sum).spans
+
+    def counts(self, spans: list[str]) -> np.ndarray:
+        """Exact token count of the text up to the end of each span."""
+        return np.cumsum(np.fromiter(map(self.known.__getitem__, spans), np.int64, len(spans)))
 
     def cut(self, text: str) -> list[str]:
         """Spans with independent tokens, in order; joined they give the text.
@@ -61,17 +51,14 @@ class SpanCounter:
     def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the spans in code points, and the exact token count of the text up to each."""
         spans = self.cut(text)
-        return (
-            np.cumsum([len(s) for s in spans], dtype=np.int64),
-            np.cumsum(self.count(spans), dtype=np.int64),
-        )
+        return np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans))), self.counts(spans)
 
     def prefix_count(self, text: str, table: tuple[np.ndarray, np.ndarray], end: int) -> int:
         """Tokens of text[:end]: the table's sum before the span that end cuts, and that span's part."""
         ends, counts = table
         k = bisect_right(ends, end)
         start, before = (int(ends[k - 1]), int(counts[k - 1])) if k else (0, 0)
-        return before + (self.count([text[start:end]])[0] if end > start else 0)
+        return before + (self.known[text[start:end]] if end > start else 0)
 
     def longest_prefix(self, text: str, table: tuple[np.ndarray, np.ndarray], budget: int) -> int:
         """Code points of the longest run of whole spans within a token budget."""
@@ -97,10 +84,11 @@ def prefix_table(text: str | Column, path: str, tables: bool = True) -> Column:
 
     def count(texts: pa.Array) -> pa.Array:
         c = counter(path)
+        if not tables:
+            sums = [c.counts(c.cut(t or "")) for t in texts.to_pylist()]
+            return pa.StructArray.from_arrays([pa.array([int(x[-1]) if len(x) else 0 for x in sums], pa.int64())], ["n_tokens"])
         got = [c.table(t or "") for t in texts.to_pylist()]
         totals = pa.array([int(x[-1]) if len(x) else 0 for _, x in got], pa.int64())
-        if not tables:
-            return pa.StructArray.from_arrays([totals], ["n_tokens"])
         lists = [pa.array([x[i] for x in got], pa.list_(pa.int64())) for i in (0, 1)]
         return pa.StructArray.from_arrays([totals, *lists], ["n_tokens", "ends", "counts"])
 

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresift.llm import store
+from loresift.llm.pieces import LETTERS, MARKS, Pieces
 
 END_ID = 2
-#: Distinct words that one Python worker remembers; beyond that it forgets all and starts again.
-MEMORY = 300_000
+#: Pieces of plain words: letters, a digit, marks.
+PIECE = rf"[{LETTERS}]++|[0-9]|[{MARKS}]++"
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _TAKES = _LENGTHS.sum(axis=1)
@@ -75,25 +76,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(path, PIECE, lambda ids: np.array(ids, "<u4").tobytes(), b"".join, lower=True).spans
         self.words = re.compile(r"[ \t\n\r]+").split
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words, known = self.words(text), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > MEMORY:
-            known.clear()
-        fresh = list({w for w in words if w not in known})
-        for w, e in zip(fresh, self.encoder.encode_batch(fresh, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.known.__getitem__, self.words(text)))
 
 
 _encoders: dict[str, WordEncoder] = {}
