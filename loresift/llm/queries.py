@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loresift.llm import decontaminate, embeddings, html, licenses, mixing, quality, simhash, token_counts, token_output
+from loresift.llm import decontaminate, embeddings, html, licenses, mixing, passages, quality, simhash, token_counts, token_output
 
 QUERIES = {
     "op2_html": html.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": token_counts.query,
     "op4_decontaminate": decontaminate.query,
     "op5_token_output": token_output.query,
+    "op6_passages": passages.query,
     "op7_mixing": mixing.query,
     "op8_embeddings": embeddings.query,
     "op9_quality": quality.query,
