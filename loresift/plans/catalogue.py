@@ -2,5 +2,609 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loresift.functions import scoring
+from loresift.functions.text import EOS, clean, draw, tokens, variants, with_title
+from loresift.operators import evidence, keys, match, training
+from loresift.operators.generate import BeamOptions, generate
+from loresift.operators.index import CorpusIndex
+from loresift.plans.fragments import with_needed
+from loresift.plans.search import Options, build_corpus
+from loresift.sources import writers
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+OPTIONS = Options(allow_overlaps=True, unigrams_ignore_free_places=True, add_best_unigrams=False, n_docs_complete_score=100)
+
+
+def query(sql: str | None = None, **own: str):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_needed(sql, **own)
+        return f
+
+    return register
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark, sf_dir: str):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+    return build_corpus(rows, include_title=False, lowercase=True)
+
+
+def index(spark, sf_dir: str) -> CorpusIndex:
+    return CorpusIndex.build(corpus(spark, sf_dir))
+
+
+def asked(spark, sf_dir: str):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), tokens("text").alias("toks"))
+
+
+class Scored:
+    """What most queries start from: keys of benchmark items, where they occur, and their scores."""
+
+    def __init__(self, spark, sf_dir: str, options: Options = OPTIONS):
+        self.index = index(spark, sf_dir)
+        self.queries = asked(spark, sf_dir)
+        self.spans = keys.query_keys(self.queries)
+        self.counts = self.index.token_counts().persist()
+        self.total = F.lit(float(self.index.n_tokens()))
+        self.at = self.index.occurrences(match.as_keys(self.spans)).persist()
+        self.found = self.at.groupBy("ngram").agg(F.count("*").alias("count"))
+        self.scorer = keys.CountScorer()
+        self.lp = self.scorer.keys(self.queries, self.spans, self.counts, self.total)
+        self.keys = keys.score_keys(self.lp, self.found, self.total, options)
+        self.unigrams = self.scorer.unigrams(self.queries, self.counts, self.total)
+        self.split = keys.split_by_frequency(self.keys.select("query", "ngram", "n", "count", "score"), options)
+
+    def first(self, options: Options = OPTIONS):
+        return evidence.candidates(self.split, self.at, options)
+
+    def full(self, options: Options = OPTIONS):
+        none = self.split.limit(0).select("query", F.col("ngram").alias("token"), "score")
+        split = self.split.persist()
+        return evidence.full_scores(split, self.at, evidence.candidates(split, self.at, options), none, self.index.docs, options)
+
+
+# ---- corpus and index ----
+
+
+@query("SELECT doc, title, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n FROM c WHERE length(text) > 0")
+def corpus_clean(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc", "title", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT doc, CAST(len(toks) - 1 AS BIGINT) AS n, md5(array_to_string(toks, ' ')) AS toks_md5 FROM d")
+def corpus_tokens(spark, sf_dir):
+    docs = index(spark, sf_dir).docs
+    return docs.select("doc", (F.size("toks") - 1).cast("long").alias("n"), F.md5(F.array_join("toks", " ")).alias("toks_md5"))
+
+
+@query("SELECT doc, md5(lower(title || ' @@ ' || text)) AS full_md5 FROM c WHERE length(text) > 0")
+def title_concat(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc", F.md5(F.lower(with_title("title", "text"))).alias("full_md5"))
+
+
+@query("SELECT doc, row_number() OVER (ORDER BY doc) - 1 AS doc_idx FROM d")
+def doc_index(spark, sf_dir):
+    return index(spark, sf_dir).numbered()
+
+
+@query("SELECT doc, CAST(len(toks) AS BIGINT) AS length FROM d")
+def doc_lengths(spark, sf_dir):
+    return index(spark, sf_dir).lengths()
+
+
+BEGINNINGS = "SELECT doc, CAST(len(toks) AS BIGINT) AS length, CAST(coalesce(sum(len(toks)) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS beginning FROM d"
+
+
+@query(BEGINNINGS)
+def doc_beginnings(spark, sf_dir):
+    return index(spark, sf_dir).beginnings().select("doc", "length", "beginning")
+
+
+@query('SELECT "at", doc, "at" - beginning AS pos FROM places JOIN b ON "at" >= beginning AND "at" < beginning + length', places='SELECT item_id * 7919 AS "at" FROM benchmark', b=BEGINNINGS)
+def locate_doc(spark, sf_dir):
+    return index(spark, sf_dir).document_at(table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7919).alias("at")))
+
+
+@query("SELECT doc, token, pos FROM post")
+def postings(spark, sf_dir):
+    return index(spark, sf_dir).postings()
+
+
+@query("SELECT token, cf, df FROM voc")
+def vocab_counts(spark, sf_dir):
+    return index(spark, sf_dir).vocabulary()
+
+
+@query("SELECT count(*) AS n_docs, CAST(sum(len(toks)) AS BIGINT) AS n_tokens FROM d")
+def corpus_stats(spark, sf_dir):
+    return index(spark, sf_dir).size()
+
+
+@query("SELECT doc, md5(array_to_string(toks[3:20], ' ')) AS part_md5 FROM d WHERE len(toks) > 2")
+def extract_doc(spark, sf_dir):
+    return index(spark, sf_dir).extract(2, 20).select("doc", F.md5(F.array_join("toks", " ")).alias("part_md5"))
+
+
+def three_grams(spark, sf_dir):
+    return keys.query_keys(asked(spark, sf_dir)).where("n = 3").select("ngram", "n").distinct()
+
+
+@query("SELECT ngram, count(*) AS count FROM occ WHERE ngram IN (SELECT ngram FROM sp WHERE n = 3) GROUP BY ngram")
+def ngram_count(spark, sf_dir):
+    return index(spark, sf_dir).counts(three_grams(spark, sf_dir))
+
+
+@query("SELECT DISTINCT ngram, doc FROM occ WHERE ngram IN (SELECT ngram FROM sp WHERE n = 3)")
+def ngram_docs(spark, sf_dir):
+    return index(spark, sf_dir).documents(three_grams(spark, sf_dir))
+
+
+@query("SELECT ngram, doc, pos FROM occ WHERE ngram IN (SELECT ngram FROM sp WHERE n = 3)")
+def ngram_locate(spark, sf_dir):
+    return index(spark, sf_dir).occurrences(three_grams(spark, sf_dir))
+
+
+@query("SELECT ngram, doc, pos FROM occ WHERE ngram IN (SELECT ngram FROM sp WHERE n = 3)")
+def ngram_locate_rarest(spark, sf_dir):
+    return match.by_rarest_token(index(spark, sf_dir).docs, three_grams(spark, sf_dir))
+
+
+@query("SELECT '</s> ' || toks[1] || ' ' || toks[2] AS ngram, count(*) AS count FROM d WHERE len(toks) > 2 GROUP BY ngram")
+def title_prefix_match(spark, sf_dir):
+    found = index(spark, sf_dir)
+    starts = found.docs.where(F.size("toks") > 2).select(F.concat_ws(" ", F.lit(EOS), F.slice("toks", 1, 2)).alias("ngram"))
+    return found.counts(match.as_keys(starts), titles=True)
+
+
+def two_grams(spark, sf_dir):
+    return keys.query_keys(asked(spark, sf_dir)).where("n = 2").select("ngram", "n").distinct()
+
+
+FOLLOWING = "SELECT ngram[:-length(nxt) - 2] AS ngram, nxt AS next, count(*) AS count FROM (SELECT ngram, string_split(ngram, ' ')[-1] AS nxt FROM ng3) WHERE ngram[:-length(nxt) - 2] IN (SELECT ngram FROM sp WHERE n = 2) GROUP BY ALL"
+
+
+@query("SELECT ngram, next FROM f", f=FOLLOWING)
+def continuations(spark, sf_dir):
+    return index(spark, sf_dir).continuations(two_grams(spark, sf_dir)).select("ngram", "next")
+
+
+@query("SELECT ngram, next, count FROM f", f=FOLLOWING)
+def continuation_counts(spark, sf_dir):
+    return index(spark, sf_dir).continuations(two_grams(spark, sf_dir))
+
+
+@query("SELECT ngram, count(*) AS n_next, CAST(sum(count) AS BIGINT) AS total FROM f GROUP BY ngram", f=FOLLOWING)
+def multi_continuations(spark, sf_dir):
+    found = index(spark, sf_dir).continuations(two_grams(spark, sf_dir))
+    return found.groupBy("ngram").agg(F.count("*").alias("n_next"), F.sum("count").alias("total"))
+
+
+@query(
+    "SELECT event_type || ' ' || next AS ngram, count(*) AS count FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL GROUP BY ngram"
+)
+def event_sequence_count(spark, sf_dir):
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    sequences = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(ordered, lambda x: x["event_type"]).alias("toks"))
+    found = CorpusIndex.build(sequences, "user_id")
+    pairs = match.runs(found.docs, [2]).where(~F.col("ngram").endswith(EOS))
+    return found.counts(match.as_keys(pairs))
+
+
+@query(
+    "SELECT a || ' ' || b AS ngram, count(*) AS count FROM (SELECT CAST(l_partkey AS VARCHAR) AS a, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS VARCHAR) AS b FROM lineitem) WHERE b IS NOT NULL GROUP BY ngram"
+)
+def item_sequence_count(spark, sf_dir):
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    sequences = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(ordered, lambda x: x["l_partkey"]).alias("toks"))
+    found = CorpusIndex.build(sequences, "l_orderkey")
+    pairs = match.runs(found.docs, [2]).where(~F.col("ngram").endswith(EOS))
+    return found.counts(match.as_keys(pairs))
+
+
+# ---- keys ----
+
+
+@query("SELECT query, ngram, n FROM sp")
+def query_spans(spark, sf_dir):
+    return keys.query_keys(asked(spark, sf_dir))
+
+
+@query(
+    "SELECT DISTINCT query, array_to_string(list_transform(range(1, n + 1), lambda j: CASE WHEN m // CAST(pow(2, j - 1) AS BIGINT) % 2 = 1 THEN upper(w[j][1]) || w[j][2:] ELSE w[j] END), ' ') AS ngram, n FROM (SELECT query, n, string_split(ngram, ' ') AS w, unnest(range(CAST(pow(2, n) AS BIGINT))) AS m FROM sp)"
+)
+def query_span_variants(spark, sf_dir):
+    return keys.query_keys(asked(spark, sf_dir), capitals=True)
+
+
+@query("SELECT query, ngram, n FROM sp WHERE ngram IN (SELECT ngram FROM occ)")
+def keys_in_corpus(spark, sf_dir):
+    spans = keys.query_keys(asked(spark, sf_dir))
+    return keys.occurring(spans, index(spark, sf_dir).counts(match.as_keys(spans)))
+
+
+@query("SELECT query, ngram, n FROM sp WHERE ngram NOT IN (SELECT ngram FROM occ)")
+def keys_absent(spark, sf_dir):
+    spans = keys.query_keys(asked(spark, sf_dir))
+    return keys.absent(spans, index(spark, sf_dir).counts(match.as_keys(spans)))
+
+
+TURNS = r"SELECT conv_id AS query, turn, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS ngram FROM conversations WHERE role = 'user'"
+
+
+@query("SELECT query, ngram, min(turn) AS turn FROM u GROUP BY ALL", u=TURNS)
+def key_dedupe(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    found = turns.select(F.col("conv_id").alias("query"), "turn", F.explode(tokens("text")).alias("ngram"))
+    return keys.first_of_each(found, ["turn"])
+
+
+@query("SELECT query, ngram, 'span' AS source FROM sp UNION ALL SELECT query, title AS ngram, 'title' AS source FROM q, (SELECT DISTINCT title FROM c)")
+def key_union(spark, sf_dir):
+    titles = corpus(spark, sf_dir).select(F.col("title").alias("ngram")).distinct()
+    spans = keys.query_keys(asked(spark, sf_dir)).select("query", "ngram", F.lit("span").alias("source"))
+    every = asked(spark, sf_dir).select("query").join(F.broadcast(titles)).select("query", "ngram", F.lit("title").alias("source"))
+    return spans.unionByName(every)
+
+
+@query("SELECT query, ngram, n, lp FROM kl")
+def key_rescore(spark, sf_dir):
+    return Scored(spark, sf_dir).lp
+
+
+@query("SELECT query, token, cf, lp FROM ut")
+def unigram_scores(spark, sf_dir):
+    return Scored(spark, sf_dir).unigrams
+
+
+@query("SELECT query, token, lp FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY lp DESC, token) AS r FROM ut) WHERE r <= 5")
+def topk_unigrams(spark, sf_dir):
+    best = W.partitionBy("query").orderBy(F.desc("lp"), "token")
+    return Scored(spark, sf_dir).unigrams.withColumn("r", F.row_number().over(best)).where("r <= 5").select("query", "token", "lp")
+
+
+@query("SELECT query, ngram, n_occ AS count, score FROM ks")
+def key_logodds(spark, sf_dir):
+    return Scored(spark, sf_dir).keys.select("query", "ngram", "count", "score")
+
+
+@query("SELECT query, ngram, round(pow(greatest(lp - (min(lp) OVER (PARTITION BY query) - 0.1::DOUBLE), 0), 2), 6) AS score FROM kl JOIN cnt USING (ngram)")
+def key_cutoff_score(spark, sf_dir):
+    s = Scored(spark, sf_dir, Options(use_index_frequency=False))
+    return s.keys.select("query", "ngram", "score")
+
+
+@query("SELECT query, ngram, kind, score FROM kf")
+def rare_freq_split(spark, sf_dir):
+    return Scored(spark, sf_dir).split.select("query", "ngram", "kind", "score")
+
+
+@query(
+    "SELECT query, ngram, score FROM ks WHERE n = 3 UNION ALL SELECT query, token, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, token) AS r FROM us) JOIN (SELECT query, count(*) AS have FROM ks WHERE n = 3 GROUP BY query) USING (query) WHERE r <= have"
+)
+def best_unigrams(spark, sf_dir):
+    s = Scored(spark, sf_dir)
+    long = s.keys.where("n = 3")
+    return keys.add_best_unigrams(long, keys.score_unigrams(s.unigrams, long, s.total, OPTIONS)).select("query", "ngram", "score")
+
+
+# ---- evidence ----
+
+
+@query("SELECT query, doc, round(first_score, 6) AS first_score FROM st1")
+def stage1_candidates(spark, sf_dir):
+    everything = Options(allow_overlaps=True, n_docs_complete_score=1 << 30)
+    return Scored(spark, sf_dir).first(everything).withColumn("first_score", F.round("first_score", 6))
+
+
+@query("SELECT query, doc, round(first_score, 6) AS first_score FROM cand")
+def stage1_topn(spark, sf_dir):
+    return Scored(spark, sf_dir).first().withColumn("first_score", F.round("first_score", 6))
+
+
+@query("SELECT query, doc, ngram, round(credit, 6) AS credit FROM cred1")
+def repetition_discount(spark, sf_dir):
+    s = Scored(spark, sf_dir)
+    hits = s.at.select("ngram", "doc").distinct().join(s.split.where("kind = 'rare'"), "ngram")
+    return evidence.discounted(hits.select("query", "doc", "ngram", "score"), OPTIONS).select("query", "doc", "ngram", F.round("credit", 6).alias("credit"))
+
+
+BEST = "SELECT query, doc, min_by(ngram, ({0})) AS best_key FROM hit2 GROUP BY query, doc"
+
+
+@query("SELECT query, doc, round(total, 6) AS score, best_key FROM full JOIN b USING (query, doc)", b=BEST.format("-score, ngram"))
+def fullscore_overlap(spark, sf_dir):
+    return Scored(spark, sf_dir).full().select("query", "doc", F.round("score", 6).alias("score"), "best_key")
+
+
+@query(
+    "SELECT query, doc, round(sum(CASE WHEN type IS NULL THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END * score), 6) AS extra FROM (SELECT query, doc, us.token, us.score, t.type FROM cand JOIN us USING (query) JOIN (SELECT DISTINCT doc, token FROM post) p USING (doc, token) LEFT JOIN t USING (query, doc, token)) GROUP BY query, doc",
+    t="SELECT DISTINCT query, doc, type AS token, type FROM (SELECT query, doc, unnest(string_split(ngram, ' ')) AS type FROM hit2 WHERE n > 1)",
+)
+def unigram_topup(spark, sf_dir):
+    s = Scored(spark, sf_dir)
+    split = s.split.persist()
+    first = evidence.candidates(split, s.at, OPTIONS)
+    hits = s.at.join(split.where("n > 1"), "ngram").join(first.select("query", "doc"), ["query", "doc"], "left_semi")
+    credits = evidence.discounted(hits.select("query", "doc", "ngram", "score").distinct(), OPTIONS)
+    singles = keys.score_unigrams(s.unigrams, split.limit(0), s.total, OPTIONS)
+    extra = evidence.unigram_credit(credits, singles, first, s.index.docs, hits, OPTIONS)
+    return extra.withColumn("extra", F.round("extra", 6))
+
+
+@query()
+def fullscore_greedy(spark, sf_dir):
+    options = Options(unigrams_ignore_free_places=True, add_best_unigrams=False, n_docs_complete_score=20)
+    return Scored(spark, sf_dir, options).full(options).select("query", "doc", F.round("score", 6).alias("score"), "best_key")
+
+
+@query(
+    "SELECT query, doc, round(0.5::DOUBLE * total + 0.5::DOUBLE * best, 6) AS score FROM full JOIN (SELECT query, doc, max(score) AS best FROM hit2 GROUP BY query, doc) USING (query, doc)",
+    cand="SELECT query, doc, first_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(first_score, 9) DESC, doc) AS r FROM (SELECT query, doc, 0.5::DOUBLE * sum(credit) + 0.5::DOUBLE * max(score) AS first_score FROM cred1 GROUP BY query, doc)) WHERE r <= 100",
+)
+def single_key(spark, sf_dir):
+    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, n_docs_complete_score=100, single_key=0.5)
+    return Scored(spark, sf_dir).full(options).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+@query("SELECT query, doc, best_key FROM b", b=BEST.format("-n, -score, ngram"))
+def sort_by_length(spark, sf_dir):
+    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, n_docs_complete_score=100, sort_by_length=True)
+    return Scored(spark, sf_dir).full(options).select("query", "doc", "best_key")
+
+
+@query("SELECT query, doc, best_key FROM b", b=BEST.format("n_occ, -score, ngram"))
+def sort_by_freq(spark, sf_dir):
+    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, n_docs_complete_score=100, sort_by_freq=True)
+    return Scored(spark, sf_dir).full(options).select("query", "doc", "best_key")
+
+
+TOP = "SELECT query, doc, total, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(total, 9) DESC, doc) AS rank FROM full) WHERE rank <= 10"
+
+
+def found(spark, sf_dir):
+    return evidence.top(Scored(spark, sf_dir).full(), 10)
+
+
+@query("SELECT query, doc, rank, round(total, 6) AS score FROM top", top=TOP)
+def search_topk(spark, sf_dir):
+    return found(spark, sf_dir).select("query", "doc", "rank", F.round("score", 6).alias("score"))
+
+
+@query("SELECT query, doc, rank, ngram, n_occ AS count, round(credit, 6) AS credit FROM top JOIN cred2 USING (query, doc) JOIN cnt USING (ngram)", top=TOP)
+def search_with_keys(spark, sf_dir):
+    s = Scored(spark, sf_dir)
+    best = evidence.top(s.full(), 10).select("query", "doc", "rank").persist()
+    hits = s.at.join(s.split, "ngram").join(s.first().select("query", "doc"), ["query", "doc"], "left_semi")
+    credits = evidence.discounted(hits.select("query", "doc", "ngram", "score").distinct(), OPTIONS)
+    return credits.drop("rank").join(best, ["query", "doc"]).join(s.found, "ngram").select("query", "doc", "rank", "ngram", "count", F.round("credit", 6).alias("credit"))
+
+
+# ---- generation ----
+
+
+def decoded(spark, sf_dir, **options):
+    s_index, queries = index(spark, sf_dir), asked(spark, sf_dir)
+    counts = s_index.token_counts().persist()
+    return generate(queries, s_index, counts, F.lit(float(s_index.n_tokens())), BeamOptions(**({"length": 2, "beam": 5} | options)))
+
+
+def shown(found):
+    return found.select("query", "ngram", "step", "rank", F.round("lp", 6).alias("lp"))
+
+
+BEAM = {
+    "bg": "SELECT query, token, ln((coalesce(tf, 0) + 10.0::DOUBLE * cf / tot.n) / (len + 10.0::DOUBLE)) AS lp FROM (SELECT query, len(toks) AS len FROM q) CROSS JOIN voc LEFT JOIN (SELECT query, token, count(*) AS tf FROM (SELECT query, unnest(toks) AS token FROM q) GROUP BY ALL) USING (query, token), tot",
+    "s1": "SELECT * FROM (SELECT query, token AS ngram, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, token) AS rank FROM bg WHERE token <> '</s>') WHERE rank <= 10",
+    "f2": "SELECT a AS ngram, string_split(ngram, ' ')[2] AS next, count(*) AS c FROM (SELECT ngram, string_split(ngram, ' ')[1] AS a FROM ng2) GROUP BY ALL",
+    "s2": "SELECT * FROM (SELECT query, s1.ngram || ' ' || next AS ngram, s1.lp + bg.lp AS lp, row_number() OVER (PARTITION BY query ORDER BY round(s1.lp + bg.lp, 9) DESC, s1.ngram, next) AS rank FROM s1 JOIN f2 USING (ngram) JOIN bg USING (query) WHERE s1.rank <= 5 AND bg.token = next) WHERE rank <= 10",
+}
+STEPS = "SELECT query, ngram, 1 AS step, rank, round(lp, 6) AS lp FROM s1 UNION ALL SELECT query, ngram, 2 AS step, rank, round(lp, 6) AS lp FROM s2"
+
+
+@query("SELECT query, ngram, 1 AS step, rank, round(lp, 6) AS lp FROM s1", **BEAM)
+def beam_step1(spark, sf_dir):
+    return shown(decoded(spark, sf_dir, length=1))
+
+
+@query(STEPS, **BEAM)
+def beam_search_k(spark, sf_dir):
+    return shown(decoded(spark, sf_dir))
+
+
+@query(STEPS, **(BEAM | {"f2": f"SELECT ngram, next, c FROM (SELECT *, sum(c) OVER (PARTITION BY ngram) AS total FROM ({BEAM['f2']})) WHERE total > 200"}))
+def beam_stop_at_count(spark, sf_dir):
+    return shown(decoded(spark, sf_dir, stop_at_count=200))
+
+
+@query(
+    "SELECT query, '</s> ' || token AS ngram, 1 AS step, rank, round(lp, 6) AS lp FROM (SELECT query, token, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, token) AS rank FROM bg WHERE token IN (SELECT toks[1] FROM d)) WHERE rank <= 10",
+    **BEAM,
+)
+def beam_forced_prefix(spark, sf_dir):
+    return shown(decoded(spark, sf_dir, length=1, forced_prefix=EOS))
+
+
+@query(
+    STEPS,
+    **(
+        BEAM
+        | {
+            "s1": "SELECT query, ngram, lp - ln(sum(exp(lp)) OVER (PARTITION BY query)) AS lp, rank FROM (SELECT query, token AS ngram, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, token) AS rank FROM bg WHERE token <> '</s>') WHERE rank <= 8",
+            "k2": "SELECT query, ngram, next, bg.lp, s1.lp AS lp1, row_number() OVER (PARTITION BY query, ngram ORDER BY round(bg.lp, 9) DESC, next) AS r FROM s1 JOIN f2 USING (ngram) JOIN bg USING (query) WHERE s1.rank <= 5 AND bg.token = next",
+            "s2": "SELECT * FROM (SELECT query, ngram || ' ' || next AS ngram, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, ngram, next) AS rank FROM (SELECT query, ngram, next, lp1 + lp - ln(sum(exp(lp)) OVER (PARTITION BY query, ngram)) AS lp FROM k2 WHERE r <= 8)) WHERE rank <= 10",
+        }
+    ),
+)
+def beam_topk(spark, sf_dir):
+    return shown(decoded(spark, sf_dir, topk=8))
+
+
+@query()
+def beam_diverse(spark, sf_dir):
+    return shown(decoded(spark, sf_dir, beam=6, groups=3, diversity=0.5))
+
+
+@query()
+def beam_sample(spark, sf_dir):
+    return shown(decoded(spark, sf_dir, sample="seed"))
+
+
+# ---- results written ----
+
+
+def hits(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("doc", "title", "text")
+    best = found(spark, sf_dir).select("query", F.col("doc").alias("docid"), "rank", "score")
+    return best.join(docs, F.col("docid") == F.col("doc")).select("query", F.concat_ws("-", "docid", F.lit("1")).alias("docid"), "rank", "score", "title", F.substring("text", 1, 20).alias("text"))
+
+
+def topics(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("input"))
+
+
+@query("SELECT query, rank, query || ' Q0 ' || doc || '-1 ' || rank || ' ' || format('{:.6f}', total) || ' loresift' AS line FROM top", top=TOP)
+def writer_trec(spark, sf_dir):
+    return writers.trec_lines(hits(spark, sf_dir))
+
+
+@query("SELECT query, rank, query || chr(9) || doc || '-1' || chr(9) || rank AS line FROM top", top=TOP)
+def writer_msmarco(spark, sf_dir):
+    return writers.msmarco_lines(hits(spark, sf_dir))
+
+
+@query()
+def writer_kilt(spark, sf_dir):
+    return writers.kilt_lines(hits(spark, sf_dir), topics(spark, sf_dir))
+
+
+@query()
+def writer_dpr(spark, sf_dir):
+    return writers.dpr_lines(hits(spark, sf_dir), topics(spark, sf_dir))
+
+
+@query(
+    "SELECT query, page AS docid, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM (SELECT query, CAST(doc // 10 AS VARCHAR) AS page, min(rank) AS rank FROM top GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 5",
+    top=TOP,
+)
+def max_passage(spark, sf_dir):
+    best = found(spark, sf_dir).select("query", F.concat((F.col("doc") / 10).cast("long"), F.lit("#"), F.col("doc") % 10).alias("docid"), "rank")
+    return writers.limited(best, 5, "#", max_passage=True)
+
+
+# ---- training pairs ----
+
+
+def contexts(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), "quality", "toxic")
+    rows = corpus(spark, sf_dir).join(labels, "doc")
+    rank = F.row_number().over(W.partitionBy("title").orderBy("doc"))
+    return rows.select("doc", "title", F.substring("text", 1, 80).alias("text"), F.array_join(F.slice("toks", 1, 6), " ").alias("question"), (F.col("quality") * 999).alias("score"), (F.col("toxic") * 999).alias("title_score"), rank.alias("rank"))
+
+
+CTX = "SELECT doc, title, text[:80] AS text, array_to_string(list_filter(toks, lambda x: x <> '</s>')[1:6], ' ') AS question, quality * 999 AS score, toxic * 999 AS title_score, row_number() OVER (PARTITION BY title ORDER BY doc) AS rank FROM d JOIN (SELECT doc_id AS doc, quality, toxic FROM labels) USING (doc)"
+WITHIN = "SELECT * FROM ctx WHERE rank <= 5 AND (score >= 999 OR title_score >= 999)"
+
+
+@query("SELECT doc, ' ' || trim(question) || ' || title' AS source, ' ' || title || ' @@' AS target FROM w", ctx=CTX, w=WITHIN)
+def train_title_pairs(spark, sf_dir):
+    kept = training.within(contexts(spark, sf_dir), max_rank=5)
+    return kept.select("doc", training.mark("question", "title").alias("source"), training.target("title").alias("target"))
+
+
+@query("SELECT doc, ' ' || trim(question) || ' || body' AS source, ' ' || text AS target FROM w", ctx=CTX, w=WITHIN)
+def train_chunk_pairs(spark, sf_dir):
+    kept = training.within(contexts(spark, sf_dir), max_rank=5)
+    return kept.select("doc", training.mark("question", "chunk").alias("source"), training.target("chunk").alias("target"))
+
+
+@query("SELECT doc, ' ' || trim(question) || ' || body' || CASE WHEN title_score < 999 THEN ' || ?' ELSE ' || +' END AS source FROM w", ctx=CTX, w=WITHIN)
+def train_silver_mark(spark, sf_dir):
+    kept = training.within(contexts(spark, sf_dir), max_rank=5)
+    return kept.select("doc", training.mark("question", "chunk", F.col("title_score") < 999).alias("source"))
+
+
+@query("SELECT doc, ' ' || n_name || ' ||' AS target FROM w JOIN nation ON title = 'src' || n_nationkey", ctx=CTX, w=WITHIN)
+def train_code_pairs(spark, sf_dir):
+    codes = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), "n_nationkey").alias("title"), F.col("n_name").alias("code"))
+    kept = training.within(contexts(spark, sf_dir), max_rank=5)
+    return training.with_codes(kept, codes, "title").select("doc", training.target("code").alias("target"))
+
+
+@query(
+    "SELECT conv_id AS sample, turn AS place, page_id AS key, url AS title FROM (SELECT conv_id, turn, page_id, url, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations JOIN pages ON page_id = conv_id + turn) WHERE nth <= 2"
+)
+def train_kb_join_limit(spark, sf_dir):
+    asked_for = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample"), F.col("turn").alias("place"), (F.col("conv_id") + F.col("turn")).alias("key"))
+    kb = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("title"))
+    return training.limited(asked_for, kb, 2).select("sample", "place", "key", "title")
+
+
+def question_pairs(spark, sf_dir):
+    best = found(spark, sf_dir).where("rank = 1").select("query", "doc")
+    toks = index(spark, sf_dir).docs.select("doc", F.slice("toks", 1, 120).alias("passage"))
+    questions = asked(spark, sf_dir).select("query", F.slice("toks", 1, 20).alias("question"))
+    return best.join(toks, "doc").join(questions, "query").select(F.col("query").alias("pair"), "question", "passage")
+
+
+@query()
+def train_span_weights(spark, sf_dir):
+    return training.span_weights(question_pairs(spark, sf_dir))
+
+
+@query()
+def train_span_sample(spark, sf_dir):
+    return training.sample_spans(training.span_weights(question_pairs(spark, sf_dir)), 3, "spans")
+
+
+def _draw(*parts: str) -> str:
+    text = " || '|' || ".join(parts)
+    return f"(CAST(('0x' || md5({text})[1:8]) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+GOOD = "(lower({0}) NOT IN ({1}) AND NOT regexp_matches({0}, '[?.!]$') AND NOT regexp_matches({0}, '^[(\\[]'))"
+
+
+def _pairs_sql() -> str:
+    from loresift.functions.text import STOPWORDS
+
+    words = ", ".join(f"'{w}'" for w in STOPWORDS)
+    start = "CAST(floor(" + _draw("'seed'", "'{0}'", "CAST(doc AS VARCHAR)", "CAST(draw AS VARCHAR)") + " * room) AS BIGINT)"
+    placed = f"SELECT *, {start.format('s')} AS s, {start.format('t')} AS t FROM (SELECT doc, toks, len(toks) - 9 AS room, unnest(range(1, 14)) AS draw FROM b WHERE len(toks) >= 10)"
+    return (
+        f"SELECT doc, nth, CASE WHEN {_draw(chr(39) + 'seed' + chr(39), chr(39) + 'case' + chr(39), 'CAST(doc AS VARCHAR)', 'CAST(draw AS VARCHAR)')} < 0.1 THEN lower(source) ELSE source END AS source, target FROM ("
+        f"SELECT doc, draw, row_number() OVER (PARTITION BY doc ORDER BY draw) AS nth, array_to_string(toks[s + 1:s + 10], ' ') AS source, array_to_string(toks[t + 1:t + 10], ' ') AS target "
+        f"FROM ({placed}) WHERE {GOOD.format('toks[s + 1]', words)} AND {GOOD.format('toks[t + 1]', words)}) WHERE nth <= 3"
+    )
+
+
+@query(_pairs_sql(), b=r"SELECT doc, list_filter(string_split(text, ' '), lambda x: x <> '') AS toks FROM c WHERE length(text) > 0")
+def unsup_pairs(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("doc", tokens("text", lowercase=False).alias("toks"))
+    return training.random_pairs(docs, 3, "seed")
+
+
+@query("SELECT doc, copy, md5(text) AS source_md5, ' ' || title || ' @@' AS target FROM c, (VALUES (1), (2)) AS k(copy) WHERE length(text) > 0 AND text <> title")
+def unsup_full_doc(spark, sf_dir):
+    found_pairs = training.full_document_pairs(corpus(spark, sf_dir), 2)
+    return found_pairs.select("doc", "copy", F.md5("source").alias("source_md5"), "target")
+
+
+@query(
+    r"SELECT CASE WHEN n = 0 THEN 'empty' WHEN n < 5 THEN 'short' WHEN n > 200 THEN 'long' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '')) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY reason"
+)
+def filter_stats(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return training.filter_statistics(lines, 5, 200)
