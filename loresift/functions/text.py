@@ -84,23 +84,20 @@ def spans(toks: str | Column, longest: int) -> Column:
 
 
 def variants(span: str | Column) -> Column:
-    """A span with every choice of its words' first letters capitalised."""
-    out = F.array(F.lit("").cast("string"))
-    return F.aggregate(
-        F.split(column(span), " "),
-        out,
-        lambda acc, w: F.array_distinct(
-            F.flatten(
-                F.transform(
-                    acc,
-                    lambda p: F.array(
-                        F.concat_ws(" ", F.nullif(p, F.lit("")), w),
-                        F.concat_ws(" ", F.nullif(p, F.lit("")), F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))),
-                    ),
-                )
-            )
-        ),
-    )
+    """A span with every choice of its words' first letters capitalised; a letter without a single capital stays."""
+
+    def both(prefix: Column, word: Column) -> Column:
+        before = F.nullif(prefix, F.lit(""))
+        first = F.substring(word, 1, 1)
+        capital = F.when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(first)
+        return F.array(
+            F.concat_ws(" ", before, word), F.concat_ws(" ", before, F.concat(capital, F.substr(word, F.lit(2))))
+        )
+
+    def extend(prefixes: Column, word: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(prefixes, lambda p: both(p, word))))
+
+    return F.aggregate(F.split(column(span), " "), F.array(F.lit("")), extend)
 
 
 def split_at(toks: str | Column, delimiter: str) -> Column:

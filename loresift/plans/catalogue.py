@@ -204,7 +204,7 @@ def event_sequence_count(spark, sf_dir):
 
 
 @query(
-    "SELECT a || ' ' || b AS ngram, count(*) AS count FROM (SELECT CAST(l_partkey AS VARCHAR) AS a, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS VARCHAR) AS b FROM lineitem) WHERE b IS NOT NULL GROUP BY ngram"
+    "SELECT a || ' ' || b AS ngram, count(*) AS count FROM (SELECT CAST(l_partkey AS VARCHAR) AS a, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS VARCHAR) AS b FROM lineitem) WHERE b IS NOT NULL GROUP BY ngram"
 )
 def item_sequence_count(spark, sf_dir):
     ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
@@ -223,7 +223,7 @@ def query_spans(spark, sf_dir):
 
 
 @query(
-    "SELECT DISTINCT query, array_to_string(list_transform(range(1, n + 1), lambda j: CASE WHEN m // CAST(pow(2, j - 1) AS BIGINT) % 2 = 1 THEN upper(w[j][1]) || w[j][2:] ELSE w[j] END), ' ') AS ngram, n FROM (SELECT query, n, string_split(ngram, ' ') AS w, unnest(range(CAST(pow(2, n) AS BIGINT))) AS m FROM sp)"
+    "SELECT DISTINCT query, array_to_string(list_transform(range(1, n + 1), lambda j: CASE WHEN m // CAST(pow(2, j - 1) AS BIGINT) % 2 = 1 AND w[j][1] <> 'ß' THEN upper(w[j][1]) || w[j][2:] ELSE w[j] END), ' ') AS ngram, n FROM (SELECT query, n, string_split(ngram, ' ') AS w, unnest(range(CAST(pow(2, n) AS BIGINT))) AS m FROM sp)"
 )
 def query_span_variants(spark, sf_dir):
     return keys.query_keys(asked(spark, sf_dir), capitals=True)
@@ -324,7 +324,7 @@ def repetition_discount(spark, sf_dir):
 BEST = "SELECT query, doc, min_by(ngram, ({0})) AS best_key FROM hit2 GROUP BY query, doc"
 
 
-@query("SELECT query, doc, round(total, 6) AS score, best_key FROM full JOIN b USING (query, doc)", b=BEST.format("-score, ngram"))
+@query("SELECT query, doc, round(total, 6) AS score, best_key FROM totals JOIN b USING (query, doc)", b=BEST.format("-score, ngram"))
 def fullscore_overlap(spark, sf_dir):
     return Scored(spark, sf_dir).full().select("query", "doc", F.round("score", 6).alias("score"), "best_key")
 
@@ -351,7 +351,7 @@ def fullscore_greedy(spark, sf_dir):
 
 
 @query(
-    "SELECT query, doc, round(0.5::DOUBLE * total + 0.5::DOUBLE * best, 6) AS score FROM full JOIN (SELECT query, doc, max(score) AS best FROM hit2 GROUP BY query, doc) USING (query, doc)",
+    "SELECT query, doc, round(0.5::DOUBLE * total + 0.5::DOUBLE * best, 6) AS score FROM totals JOIN (SELECT query, doc, max(score) AS best FROM hit2 GROUP BY query, doc) USING (query, doc)",
     cand="SELECT query, doc, first_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(first_score, 9) DESC, doc) AS r FROM (SELECT query, doc, 0.5::DOUBLE * sum(credit) + 0.5::DOUBLE * max(score) AS first_score FROM cred1 GROUP BY query, doc)) WHERE r <= 100",
 )
 def single_key(spark, sf_dir):
@@ -371,7 +371,7 @@ def sort_by_freq(spark, sf_dir):
     return Scored(spark, sf_dir).full(options).select("query", "doc", "best_key")
 
 
-TOP = "SELECT query, doc, total, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(total, 9) DESC, doc) AS rank FROM full) WHERE rank <= 10"
+TOP = "SELECT query, doc, total, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(total, 9) DESC, doc) AS rank FROM totals) WHERE rank <= 10"
 
 
 def found(spark, sf_dir):
@@ -406,7 +406,7 @@ def shown(found):
 
 
 BEAM = {
-    "bg": "SELECT query, token, ln((coalesce(tf, 0) + 10.0::DOUBLE * cf / tot.n) / (len + 10.0::DOUBLE)) AS lp FROM (SELECT query, len(toks) AS len FROM q) CROSS JOIN voc LEFT JOIN (SELECT query, token, count(*) AS tf FROM (SELECT query, unnest(toks) AS token FROM q) GROUP BY ALL) USING (query, token), tot",
+    "bg": "SELECT query, token, ln((coalesce(tf, 0) + 10.0::DOUBLE * cf / tot.tokens) / (len + 10.0::DOUBLE)) AS lp FROM (SELECT query, len(toks) AS len FROM q) CROSS JOIN voc LEFT JOIN (SELECT query, token, count(*) AS tf FROM (SELECT query, unnest(toks) AS token FROM q) GROUP BY ALL) USING (query, token), tot",
     "s1": "SELECT * FROM (SELECT query, token AS ngram, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, token) AS rank FROM bg WHERE token <> '</s>') WHERE rank <= 10",
     "f2": "SELECT a AS ngram, string_split(ngram, ' ')[2] AS next, count(*) AS c FROM (SELECT ngram, string_split(ngram, ' ')[1] AS a FROM ng2) GROUP BY ALL",
     "s2": "SELECT * FROM (SELECT query, s1.ngram || ' ' || next AS ngram, s1.lp + bg.lp AS lp, row_number() OVER (PARTITION BY query ORDER BY round(s1.lp + bg.lp, 9) DESC, s1.ngram, next) AS rank FROM s1 JOIN f2 USING (ngram) JOIN bg USING (query) WHERE s1.rank <= 5 AND bg.token = next) WHERE rank <= 10",
