@@ -21,6 +21,8 @@ from loresift.llm.store import materialize
 THRESHOLD = 0.7
 #: Weight of the scaled identity in each class covariance, and of the pooled covariance before that.
 SHRINK, POOL = 0.02, 0.3
+#: Standard deviation below which a statistic counts as constant.
+LEAST_SPREAD = 1e-3
 #: Observations that a text's shares are drawn towards their usual values by.
 PSEUDO = 20
 HELD_OUT = 2
@@ -129,11 +131,13 @@ def fit(rows: DataFrame) -> Discriminant:
     centre = weights @ np.array(means)
     within = weights[0] * covs[0] + weights[1] * covs[1]
     spread = within + sum(w * np.outer(m - centre, m - centre) for w, m in zip(weights, means, strict=True))
-    scale = np.sqrt(np.maximum(np.diag(spread), 1e-12))
+    scale = np.sqrt(np.maximum(np.diag(spread), LEAST_SPREAD**2))
     whiten, log_dets = [], []
     for c in (0, 1):
         cov = ((1 - POOL) * covs[c] + POOL * within) / np.outer(scale, scale)
-        cov = (1 - SHRINK) * cov + SHRINK * (np.trace(cov) / d + 1e-6) * np.eye(d)
+        values, vectors = np.linalg.eigh(cov)  # sums of squares cancel: no direction may have less than no variance
+        cov = (vectors * np.maximum(values, 0)) @ vectors.T
+        cov = (1 - SHRINK) * cov + SHRINK * (np.trace(cov) / d + LEAST_SPREAD) * np.eye(d)
         factor = np.linalg.cholesky(cov)
         whiten.append(np.linalg.inv(factor))
         log_dets.append(2 * float(np.log(np.diag(factor)).sum()))
