@@ -30,6 +30,8 @@ from loresift.llm.decontaminate import SMALL_ROWS, gram_hashes, word_hashes
 #: Tokens that a repeated run has at least, and pages of the host that it stands on at least.
 DEPTH = 12
 PAGES = 4
+#: Pages of one shard.
+SHARD = 1000
 
 # Elements by what they hold.
 RAW = "script style noscript template textarea select option iframe svg math object canvas audio video head title button".split()
@@ -245,7 +247,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     )
 
     def runs(batches):
-        for batch in batches:
+        for batch in (b.slice(k, SHARD) for b in batches for k in range(0, b.num_rows, SHARD)):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             hashes, n = suffix_runs([_stream(b, h) for b, h in rows])
             yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["run", "n"])
