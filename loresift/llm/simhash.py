@@ -93,35 +93,40 @@ def _forest(values: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int
     """Links that join whatever the near pairs of one group join: one at most per member.
 
     side: -1 if the group is one chunk; else 0 or 1, and pairs across sides are looked at (those
-    within a side are another group's). Members reached are dropped, so a dense group costs
-    little more than one pass over it.
+    within a side are another group's). Every pair is compared unless links join it already, so
+    a dense group costs little more than one pass over it.
     """
-    if side[0] >= 0 and (side == side[0]).all():
+    members = np.arange(len(values))
+    ones, others = (members[side == 0], members[side == 1]) if side[0] >= 0 else (members, members)
+    if not len(ones) or not len(others):
         return []
     table = pivot_table(values)
     links: list[tuple[int, int]] = []
-    free = np.arange(len(values))
-    front = free[:0]
-    step = max(1, PAIRS // len(values))
-
-    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if side[0] >= 0:
-            across = side[i] != side[j]
-            i, j = i[across], j[across]
+    label, parent = members, members.tolist()
+    most = max(1, PAIRS // len(others))
+    at, step = 0, min(8, most)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    while at < len(ones) and label.any():
+        some = ones[at : at + step]
+        rest = others if side[0] >= 0 else others[at:]
+        i, j = np.nonzero(label[some][:, None] != label[rest])
+        i, j = some[i], rest[j]
         left = _near(values, table, i, j, radius)
-        return i[left], j[left]
-
-    while len(free):
-        if not len(front):
-            front, free = free[:step], free[step:]
-            i, j = np.triu_indices(len(front), 1)
-            links += zip(*(x.tolist() for x in near(front[i], front[j])), strict=True)
-        some, front = front[:step], front[step:]
-        i, j = near(np.repeat(some, len(free)), np.tile(free, len(some)))
-        reached, where = np.unique(j, return_index=True)
-        links += zip(i[where].tolist(), reached.tolist(), strict=True)
-        free = np.setdiff1d(free, reached, assume_unique=True)
-        front = np.concatenate([front, reached])
+        i, j = i[left], j[left]
+        for k in np.unique(label[i] * len(values) + label[j], return_index=True)[1].tolist():
+            a, b = sorted((root(int(i[k])), root(int(j[k]))))
+            if a != b:
+                parent[b] = a
+                links.append((int(i[k]), int(j[k])))
+        at, step = at + step, min(2 * step, most)
+        label = np.array(parent)
+        while (label[label] != label).any():
+            label = label[label]
     return links
 
 

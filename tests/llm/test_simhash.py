@@ -72,6 +72,40 @@ def test_links_join_what_all_near_pairs_join(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def bridged(rng, fillers):
+    """Distinct fingerprints of one key: far ends first, what alone joins them last; links differ in 4 of the 5 blocks."""
+    low, edges = rng.getrandbits(12), [12, 25, 38, 51, 64]
+
+    def moved(fp):
+        return fp ^ sum(1 << rng.randrange(a, b) for a, b in zip(edges, edges[1:], strict=False))
+
+    def other():
+        return rng.getrandbits(52) << 12 | low
+
+    ends, between = [], []
+    for k in range(80):
+        a = other()
+        r = moved(a)
+        chain = [r, moved(r)] if k % 2 else [r]
+        ends += [a, moved(chain[-1])]
+        between += chain
+    return list(dict.fromkeys(ends + [other() for _ in range(fillers)] + between))
+
+
+def test_forest_joins_what_all_near_pairs_of_a_large_group_join(spark, monkeypatch):
+    rng = random.Random(11)
+    fps = bridged(rng, 1500)
+    n, values = len(fps), np.array(fps, np.uint64)
+    assert n > 1500 and brute_components(fps) == edges_components(n, simhash._forest(values, np.full(n, -1), RADIUS))
+    side = np.array([rng.randrange(2) for _ in fps])
+    across = [(i, j) for i in range(n) for j in range(i) if side[i] != side[j] and (fps[i] ^ fps[j]).bit_count() <= RADIUS]
+    assert edges_components(n, across) == edges_components(n, simhash._forest(values, side, RADIUS))
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values.view(np.int64))], "rep long, fp long")
+    for chunk in (CHUNK, 700):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert edges_components(n, [(r.a, r.b) for r in links(df).collect()]) == brute_components(fps)
+
+
 def test_rows(spark):
     base = [f"w{i}" for i in range(400)]
     near = [*base[:200], "other", *base[201:]]
