@@ -468,7 +468,7 @@ def beam_sample(spark, sf_dir):
 def hits(spark, sf_dir):
     docs = corpus(spark, sf_dir).select("doc", "title", "text")
     best = found(spark, sf_dir).select("query", F.col("doc").alias("docid"), "rank", "score")
-    return best.join(docs, F.col("docid") == F.col("doc")).select("query", F.concat_ws("-", "docid", F.lit("1")).alias("docid"), "rank", "score", "title", F.substring("text", 1, 20).alias("text"))
+    return best.join(docs, F.col("docid") == F.col("doc")).select("query", F.concat_ws("-", "docid", F.lit("1")).alias("docid"), "rank", "score", "title", "text")
 
 
 def topics(spark, sf_dir):
@@ -511,7 +511,7 @@ def contexts(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), "quality", "toxic")
     rows = corpus(spark, sf_dir).join(labels, "doc")
     rank = F.row_number().over(W.partitionBy("title").orderBy("doc"))
-    return rows.select("doc", "title", F.substring("text", 1, 80).alias("text"), F.array_join(F.slice("toks", 1, 6), " ").alias("question"), (F.col("quality") * 999).alias("score"), (F.col("toxic") * 999).alias("title_score"), rank.alias("rank"))
+    return rows.select("doc", "title", "text", F.array_join(F.slice("toks", 1, 6), " ").alias("question"), (F.col("quality") * 999).alias("score"), (F.col("toxic") * 999).alias("title_score"), rank.alias("rank"))
 
 
 CTX = "SELECT doc, title, text[:80] AS text, array_to_string(list_filter(toks, lambda x: x <> '</s>')[1:6], ' ') AS question, quality * 999 AS score, toxic * 999 AS title_score, row_number() OVER (PARTITION BY title ORDER BY doc) AS rank FROM d JOIN (SELECT doc_id AS doc, quality, toxic FROM labels) USING (doc)"
@@ -554,8 +554,8 @@ def train_kb_join_limit(spark, sf_dir):
 
 def question_pairs(spark, sf_dir):
     best = found(spark, sf_dir).where("rank = 1").select("query", "doc")
-    toks = index(spark, sf_dir).docs.select("doc", F.slice("toks", 1, 120).alias("passage"))
-    questions = asked(spark, sf_dir).select("query", F.slice("toks", 1, 20).alias("question"))
+    toks = index(spark, sf_dir).docs.select("doc", F.col("toks").alias("passage"))
+    questions = asked(spark, sf_dir).select("query", F.col("toks").alias("question"))
     return best.join(toks, "doc").join(questions, "query").select(F.col("query").alias("pair"), "question", "passage")
 
 
