@@ -33,8 +33,13 @@ class BeamOptions:
     length_penalty: float = 0.0
 
 
-def first_tokens(queries: DataFrame, token_counts: DataFrame, most: int) -> DataFrame:
-    """(query, next): a query's own tokens, and the corpus's most frequent ones; no other can be among the best ``most``."""
+def first_tokens(queries: DataFrame, token_counts: DataFrame, most: int, sampled: bool = False) -> DataFrame:
+    """(query, next): a query's own tokens, and the corpus's most frequent ones; no other can be among the best ``most``.
+
+    Sampled, any token can be drawn, so all of the corpus are returned.
+    """
+    if sampled:
+        return queries.select("query").crossJoin(token_counts.where(F.col("token") != EOS).select(F.col("token").alias("next")))
     own = queries.select("query", F.explode("toks").alias("next")).distinct()
     common = token_counts.where(F.col("token") != EOS).orderBy(F.desc("cf"), "token").limit(most + 512).select(F.col("token").alias("next"))
     every = queries.select("query").crossJoin(F.broadcast(common))
@@ -103,7 +108,7 @@ def generate(queries: DataFrame, index, token_counts: DataFrame, total, options:
     beams, kept = start, []
     for step in range(1, options.length + 1):
         if (step == 1 and not options.forced_prefix) or options.free:
-            found = beams.join(first_tokens(queries, token_counts, most), "query").withColumn("count", F.lit(None).cast("long"))
+            found = beams.join(first_tokens(queries, token_counts, most, options.sample is not None), "query").withColumn("count", F.lit(None).cast("long"))
         else:
             found = _following(beams, index.docs, options)
         found = _token_lp(found, queries, token_counts, total, mu)
