@@ -4,7 +4,8 @@ A page is cut into blocks of text; menus, headers, footers, sidebars, notices, a
 scripts, styles and reader comments go by their tags, classes, ids and roles. What is left is
 a stream of tokens. The streams of a host's pages, concatenated, are sorted as suffixes; runs
 of DEPTH tokens or more that stand on several pages are boilerplate, and what they cover is
-removed while unique runs stay. All pages are counted. What a page itself marks as its article
+removed while unique runs stay. All pages are counted, pages of equal blocks on a host once, and
+a page of which nothing else would be left keeps its text. What a page itself marks as its article
 is not removed, though: lines that several articles share are article text all the same.
 
 A host may have any number of pages, so its suffix array is made in shards of bounded size.
@@ -243,8 +244,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     parsed = store.materialize(
-        pages.select("page_id", "url", host.alias("host"), page_blocks("html").alias("p")).select("page_id", "url", "host", "p.*"), "blocks"
+        pages.select("page_id", "url", host.alias("host"), page_blocks("html").alias("p")).select(
+            "page_id", "url", "host", "p.*", F.monotonically_increasing_id().alias("row")
+        ),
+        "blocks",
     )
+    page_key = F.xxhash64("host", "blocks")
+    distinct = store.materialize(parsed.groupBy(page_key.alias("key")).agg(F.min("row").alias("row")).select("row"), "distinct")
 
     def runs(batches):
         for batch in (b.slice(k, SHARD) for b in batches for k in range(0, b.num_rows, SHARD)):
@@ -252,14 +258,14 @@ def main_text(pages: DataFrame) -> DataFrame:
             hashes, n = suffix_runs([_stream(b, h) for b, h in rows])
             yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], ["run", "n"])
 
-    counted = parsed.select("blocks", "host").mapInArrow(runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    once = parsed.join(store.small(distinct, SMALL_ROWS), "row", "left_semi")
+    counted = once.select("blocks", "host").mapInArrow(runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
     common = store.materialize(counted.where(F.col("n") >= PAGES).select("run"), "runs")
 
     def positions(blocks_: pa.Array, hosts: pa.Array) -> pa.Array:
         got = [gram_hashes(_stream(b, h), DEPTH).view(np.int64) for b, h in zip(blocks_.to_pylist(), hosts.to_pylist(), strict=True)]
         return pa.array(got, pa.list_(pa.int64()))
 
-    page_key = F.xxhash64("host", "blocks")
     open_pages = parsed.where("not article").select(page_key.alias("key"), "blocks", "host")
     per_page = open_pages.select(
         "key", F.posexplode(F.arrow_udf(positions, T.ArrayType(T.LongType()))("blocks", "host")).alias("at", "run")
@@ -273,7 +279,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 mask = np.zeros(sum(len(x.split()) for x in b), bool)
                 for s in starts:
                     mask[s : s + DEPTH] = True
-                b = _unique_runs(b, mask)
+                b = _unique_runs(b, mask) or b
             out.append("\n".join(b))
         return pa.array(out, pa.string())
 

@@ -44,5 +44,15 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_an_open_page_keep_their_text(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    notice = "this site is run by the same people who wrote this very notice for every page"
+    rows = [(i, f"http://a.example/{i}", f"<p>{text}</p>") for i in range(5)] + [(5 + i, None, f"<p>{text}</p>") for i in range(5)]
+    rows += [(20 + i, f"http://b.example/{i}", f"<p>{f'own{i}' if i else ''}</p><p>{notice}</p>") for i in range(5)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(10)] == [text] * 10
+    assert got[20] == notice and got[22] == "own2"
+
+
 def test_long_page():
     assert len(blocks("<article>" + "<p>some words &amp; more</p>" * 20_000 + "</article>")[0]) == 20_000
