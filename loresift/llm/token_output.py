@@ -12,7 +12,6 @@ committer writes both, so a lost executor leaves no half-written file behind.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -24,11 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresift.llm import store
-from loresift.llm.pieces import LETTERS, MARKS, Pieces
+from loresift.llm.batch import binaries, slices, spans
+from loresift.llm.pieces import WordPieces
 
 END_ID = 2
-#: Pieces of plain words: letters, a digit, marks.
-PIECE = rf"[{LETTERS}]++|[0-9]|[{MARKS}]++"
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _TAKES = _LENGTHS.sum(axis=1)
@@ -39,28 +37,30 @@ _PLACES = np.where(
 ).reshape(256, 16)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
+def pack(values: np.ndarray, counts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Control and data bytes, each with the rows' lengths, of rows of unsigned 32-bit values; a row starts a control byte."""
     v = np.ascontiguousarray(values, dtype="<u4")
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    fours = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    fours[: len(v)] = code
+    controls = -(-counts // 4)
+    fours = np.zeros(4 * int(controls.sum()), np.uint8)
+    fours[spans(4 * (np.cumsum(controls) - controls), counts)] = code
     control = fours[0::4] | fours[1::4] << 2 | fours[2::4] << 4 | fours[3::4] << 6
     data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.tobytes(), data.tobytes()
+    taken = np.concatenate([[0], np.cumsum(code + np.int64(1))])
+    return (control, controls), (data, np.diff(taken[np.concatenate([[0], np.cumsum(counts)])]))
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values of a document, by table lookup."""
-    c = np.frombuffer(control, np.uint8)
-    takes = _TAKES[c]
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of rows, by table lookup, from their control and data bytes and their numbers of values."""
+    controls = -(-counts // 4)
+    takes = _TAKES[control]
+    takes[np.cumsum(controls)[counts > 0] - 1] -= (4 * controls - counts)[counts > 0]  # a row's unused codes take no bytes
     begins = np.cumsum(takes) - takes
-    source = np.zeros(len(data) + 20, np.uint8)
-    source[: len(data)] = np.frombuffer(data, np.uint8)
-    places = _PLACES[c]
+    source = np.concatenate([data, np.zeros(16, np.uint8)])
+    places = _PLACES[control]
     out = source[begins[:, None] + places]
     out[places < 0] = 0
-    return out.astype(np.uint8, copy=False).reshape(-1).view("<u4")[:n]
+    return out.reshape(-1).view("<u4")[spans(4 * (np.cumsum(controls) - controls), counts)]
 
 
 STREAMS = "shard long, local_start long, doc_id long, n_tokens long, control binary, data binary"
@@ -69,49 +69,40 @@ _STREAMS = pa.schema(
 )
 
 
-class WordEncoder:
-    """Ids of words by the tokenizers library, each distinct word encoded once while remembered.
+_encoders: dict[str, WordPieces] = {}
 
-    For tokenizers whose pieces never hold white space: there a text's ids are its words' ids in order.
-    """
-
-    def __init__(self, path: str):
-        self.known = Pieces(path, PIECE, lambda ids: np.array(ids, "<u4").tobytes(), b"".join, lower=True).spans
-        self.words = re.compile(r"[ \t\n\r]+").split
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, self.words(text)))
-
-
-_encoders: dict[str, WordEncoder] = {}
 
-
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordPieces:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders.clear()
+        _encoders[path] = WordPieces(path)
     return _encoders[path]
 
 
 def token_ids(text: str, path: str) -> Column:
-    """Binary of a text's ids and the end id, as little-endian unsigned 32-bit integers; null counts as empty."""
-    end = np.array([END_ID], "<u4").tobytes()
+    """Binary of a text's ids and the end id, as little-endian unsigned 32-bit integers; null counts as empty.
+
+    For tokenizers whose pieces never hold white space: there a text's ids are its words' ids in order.
+    """
 
     def encode(texts: pa.Array) -> pa.Array:
-        e = encoder(path)
-        return pa.array([e.ids(t or "") + end for t in texts.to_pylist()], pa.binary())
+        parts = []
+        for octets, ends in slices(texts):
+            ids, counts = encoder(path).ids(octets, ends)
+            ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4")
+            parts.append((ids.view(np.uint8), 4 * (counts + 1)))
+        return binaries(parts)
 
-    return F.arrow_udf(encode, T.BinaryType())(F.col(text))
+    return F.arrow_udf(encode, T.BinaryType())(F.col(text).cast("binary"))
 
 
 def _counts(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            found = np.bincount(np.frombuffer(ids, "<u4"))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[: len(found)] += found
+        for octets, _ in slices(batch.column(0)):
+            found = np.bincount(octets.view("<u4"), minlength=len(total))
+            found[: len(total)] += total
+            total = found
     seen = np.flatnonzero(total)
     yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -120,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     """Encode the whole texts of docs (doc_id, text) and write a token folder in ascending doc_id order.
 
     Null ids come first. Rows of equal id are ordered by their ids' hash. An empty table writes an
-    empty folder. The dictionary has a row for each id in use, so at most the vocabulary's size.
+    empty folder. Very long texts are encoded whole, each on its own. Other columns of docs are not read. The dictionary has a row for each id in use, so at most the vocabulary's size.
     """
     spark = docs.sparkSession
     encoded = store.materialize(docs.select("doc_id", token_ids("text", path).alias("ids")), "ids")
@@ -130,10 +121,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     rank[by_rank] = np.arange(len(by_rank))
 
     def packed(values: pa.Array) -> pa.Array:
-        ids = [np.frombuffer(v, "<u4") for v in values.to_pylist()]
-        pairs = [pack(rank[v]) for v in ids]
-        n = pa.array([len(v) for v in ids], pa.int64())
-        return pa.StructArray.from_arrays([n, *[pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]], ["n_tokens", "control", "data"])
+        controls, data, n = [], [], []
+        for octets, ends in slices(values):
+            counts = np.diff(ends, prepend=0) // 4
+            one, two = pack(rank[octets.view("<u4")], counts)
+            controls.append(one)
+            data.append(two)
+            n.append(counts)
+        counts = pa.array(np.concatenate([np.zeros(0, np.int64), *n]))
+        return pa.StructArray.from_arrays([counts, binaries(controls), binaries(data)], ["n_tokens", "control", "data"])
 
     def placed(batches):
         shard, start = TaskContext.get().partitionId(), 0
@@ -145,16 +141,18 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
             arrays = [shards, pa.array(starts), *[batch.column(c) for c in _STREAMS.names[2:]]]
             yield pa.RecordBatch.from_arrays(arrays, schema=_STREAMS)
 
-    # packed before the exchange: what is moved is a third of the plain ids
+    # packed, then stored: the exchange samples its input first, and moves a third of the plain ids
     kind = "struct<n_tokens:bigint,control:binary,data:binary>"
     rows = encoded.select("doc_id", F.xxhash64("ids").alias("h"), F.arrow_udf(packed, kind)("ids").alias("p"))
-    ordered = rows.select("doc_id", "h", "p.*").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    stored = store.materialize(rows.select("doc_id", "h", "p.*"), "packed")
+    store.discard(encoded)
+    ordered = stored.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     streams = ordered.select("doc_id", "n_tokens", "control", "data").mapInArrow(placed, STREAMS)
     streams.write.option("compression", "zstd").parquet(f"{folder}/streams")
     spark.createDataFrame(
         pa.table({"rank": pa.array(range(len(by_rank)), pa.int64()), "id": pa.array(by_rank, pa.int64())})
     ).write.parquet(f"{folder}/dictionary")
-    store.discard(encoded)
+    store.discard(stored)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,8 +162,15 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     by_rank = np.array([r[0] for r in dictionary.orderBy("rank").select("id").collect()], "<u4")
 
     def decode(control: pa.Array, data: pa.Array, n: pa.Array) -> pa.Array:
-        rows = zip(control.to_pylist(), data.to_pylist(), n.to_pylist(), strict=True)
-        return pa.array([by_rank[unpack(c, d, k)].tobytes() for c, d, k in rows], pa.binary())
+        parts, at = [], 0
+        counts = n.to_numpy(zero_copy_only=False)
+        for octets, ends in slices(data):
+            mine = slice(at, at + len(ends))
+            (codes, _), *_ = slices(control[mine], 1 << 62)
+            ids = by_rank[unpack(codes, octets, counts[mine])]
+            parts.append((ids.view(np.uint8), 4 * counts[mine]))
+            at += len(ends)
+        return binaries(parts)
 
     earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = streams.groupBy("shard").agg(F.sum("n_tokens").alias("_n")).select(
