@@ -106,3 +106,50 @@ def binaries(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.BinaryArray.from_buffers(
         pa.binary(), len(lengths) - 1, [None, pa.py_buffer(np.cumsum(lengths).astype(np.int32)), pa.py_buffer(data)]
     )
+
+
+def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, from the words' hashes."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.full(n, k, np.uint64)
+    for j in range(k):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n]
+    return mix(total)
+
+
+def whole(first: np.ndarray, n: int) -> np.ndarray:
+    """Which runs of n consecutive words of a slice lie within one row, by the word they start at."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return row[n - 1 :] == row[: len(row) - n + 1] if len(row) >= n else np.zeros(0, bool)
+
+
+def winnow(grams: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarray:
+    """Positions, rising, of the least of every window of w grams of k words in each row, the last of equals.
+
+    grams: of all words of a slice. A row with fewer than w grams is one window.
+    """
+    if w == 1:
+        return np.flatnonzero(whole(first, k))
+    found = [np.zeros(0, np.int64)]
+    if len(grams) >= w:
+        backwards = np.lib.stride_tricks.sliding_window_view(grams[::-1], w)
+        at = len(grams) - 1 - (backwards.argmin(axis=1) + np.arange(len(backwards)))
+        found.append(at[::-1][whole(first, k + w - 1)])
+    n = np.diff(first) - k + 1
+    for row in np.flatnonzero((n > 0) & (n < w)).tolist():
+        few = grams[first[row] : first[row] + n[row]][::-1]
+        found.append(np.array([first[row] + n[row] - 1 - int(few.argmin())]))
+    return np.unique(np.concatenate(found))
+
+
+def row_of(positions: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The row that holds each word position."""
+    return np.searchsorted(first, positions, "right") - 1
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words that hold no spaces."""
+    octets = np.frombuffer(b" ".join(words), np.uint8)
+    return Words(octets, np.array([len(octets)]), separators(0x20)).hashes()

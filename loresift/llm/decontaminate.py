@@ -14,74 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loresift.llm import store
+from loresift.llm import batch, store
 
 WINDOW = 10
 GRAM = 5
 #: Windows or seeds up to this many rows are sent to every executor; more are joined by shuffle.
 SMALL_ROWS = 200_000
 
-_WORD = bytes(
+WORD = bytes(
     b if b in range(0x30, 0x3A) or b in range(0x61, 0x7B) or b >= 0x80 else (b + 32 if b in range(0x41, 0x5B) else 0x20)
     for b in range(256)
 )
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 
 def words_of(data: bytes) -> list[bytes]:
     """The words of a text in UTF-8: runs of ASCII letters (lower-cased), digits and non-ASCII characters."""
-    return data.translate(_WORD).split()
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, for all words at once, then mixed."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    text = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _power_tables(len(text) + 1)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    return _mix((sums[ends] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
-
-
-def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, from the words' hashes."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(n, k, np.uint64)
-    for j in range(k):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n]
-    return _mix(total)
-
-
-def winnow(grams: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the least hash of every window of w (the last of equals); all, if there are fewer than w."""
-    if len(grams) <= w:
-        return np.arange(len(grams)) if w == 1 or len(grams) < w else np.array([len(grams) - 1 - int(grams[::-1].argmin())])
-    views = np.lib.stride_tricks.sliding_window_view(grams[::-1], w)
-    least = views.argmin(axis=1) + np.arange(len(views))
-    return np.unique(len(grams) - 1 - least)
+    return data.translate(WORD).split()
 
 
 def fingerprints(text: str, lengths: list[int], window: int = WINDOW, gram: int = GRAM) -> Column:
@@ -89,28 +36,40 @@ def fingerprints(text: str, lengths: list[int], window: int = WINDOW, gram: int
     kind = T.StructType([T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType())])
 
     def compute(texts: pa.Array) -> pa.Array:
-        counts, hashes, places, kinds = [0], [], [], []
-        for data in texts.to_pylist():
-            h = word_hashes(words_of(data or b""))
-            found = 0
+        counts, hashes, places, kinds = [], [], [], []
+        for octets, ends in batch.slices(texts):
+            words = batch.Words(octets, ends, WORD)
+            h, first = words.hashes(), words.first
+            found = []
             for length in [window, *lengths]:
-                grams = gram_hashes(h, gram if length == window else length)
-                at = winnow(grams, window - gram + 1 if length == window else 1)
-                hashes.append(grams[at] ^ np.uint64(length))
-                places.append(at.astype(np.int32))
-                kinds.append(np.full(len(at), length, np.int32))
-                found += len(at)
-            counts.append(counts[-1] + found)
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in (hashes, places, kinds)]
-        values = pa.StructArray.from_arrays(
-            [pa.array(flat[0].astype(np.uint64).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))],
-            ["hash", "at", "length"],
-        )
-        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), values)
+                k = gram if length == window else length
+                grams = batch.gram_hashes(h, k)
+                at = batch.winnow(grams, first, k, window - gram + 1 if length == window else 1)
+                found.append((at, grams[at] ^ np.uint64(length), np.full(len(at), length, np.int32)))
+            at, hashed, length = map(np.concatenate, zip(*found, strict=True))
+            row = batch.row_of(at, first)
+            order = np.argsort(row, kind="stable")
+            counts.append(np.bincount(row, minlength=words.rows))
+            hashes.append(hashed[order])
+            places.append((at - first[row])[order].astype(np.int32))
+            kinds.append(length[order])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))]).astype(np.int32)
+        flat = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, hashes), (np.int32, places), (np.int32, kinds))]
+        values = pa.StructArray.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], ["hash", "at", "length"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
 
     return F.arrow_udf(compute, T.ArrayType(kind))(F.col(text).cast("binary"))
 
 
+def n_words(text: str) -> Column:
+    """Words of a text; null has none."""
+
+    def compute(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *[np.diff(batch.Words(o, e, WORD).first) for o, e in batch.slices(texts)]]))
+
+    return F.arrow_udf(compute, T.LongType())(F.col(text).cast("binary"))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct (item_id, length, words): every window of an item, or the whole of a shorter one."""
     kind = T.ArrayType(T.StructType([T.StructField("length", T.IntegerType()), T.StructField("words", T.StringType())]))
@@ -182,14 +141,19 @@ def _covered(spans: Column) -> Column:
     )
 
 
+def _row_key(*columns: str) -> Column:
+    """128 bits of a row's columns, as text: two hashes that start apart."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (1, 2)])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, row (all its columns as a struct), n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits; null benchmark texts have no windows; an empty
-    benchmark hits nothing. Equal rows get equal answers. Words of a text may be very many; a
-    text is looked at whole.
+    benchmark hits nothing; an empty table of documents gives no rows. Equal rows get equal answers.
+    Very long texts are looked at whole. Other columns of docs, of any name, are in ``row`` only.
     """
-    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", _row_key("doc_id", "text").alias("row_key"))
     windows, found = hits(keyed.select("row_key", "text"), benchmark)
     found = store.materialize(found, "hits")
     covered = found.groupBy("row_key").agg(F.collect_set(F.struct("start", "length")).alias("_s")).select(
@@ -200,13 +164,12 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items")
     )
     per_row = store.materialize(covered.join(items, "row_key"), "contaminated")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
     none = F.array().cast("array<string>")
     ids = F.coalesce("_items", none)
     return keyed.join(store.small(per_row, SMALL_ROWS), "row_key", "left").select(
         "doc_id",
         "row",
-        n_words.cast("long").alias("n_words"),
+        n_words("text").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),

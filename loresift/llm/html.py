@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresift.llm import store
-from loresift.llm.decontaminate import SMALL_ROWS, gram_hashes, word_hashes
+from loresift.llm.batch import gram_hashes, word_hashes
+from loresift.llm.decontaminate import SMALL_ROWS
 
 #: Tokens that a repeated run has at least, and pages of the host that it stands on at least.
 DEPTH = 12

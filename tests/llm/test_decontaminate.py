@@ -6,8 +6,10 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 import numpy as np
+import pyarrow as pa
 
-from loresift.llm.decontaminate import GRAM, WINDOW, scan, winnow, word_hashes, words_of
+from loresift.llm import batch
+from loresift.llm.decontaminate import GRAM, WINDOW, WORD, scan, words_of
 
 
 def brute(docs, items):
@@ -42,14 +44,31 @@ def test_against_brute_force(spark):
     assert not any(r.contaminated for r in scan(df, bench.limit(0)).collect())
 
 
-@given(st.lists(st.integers(0, 5), max_size=60), st.integers(1, 8))
-def test_every_window_keeps_its_least(values, w):
-    grams = np.array(values, np.uint64)
-    kept = set(winnow(grams, w).tolist())
-    for i in range(len(values) - w + 1):
-        assert any(k in kept and values[k] == min(values[i : i + w]) for k in range(i, i + w))
+@given(st.lists(st.lists(st.integers(0, 5), max_size=30), max_size=5), st.integers(1, 3), st.integers(1, 8))
+def test_every_window_keeps_its_least(rows, k, w):
+    words = np.array([x for r in rows for x in r], np.uint64)
+    first = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    grams = batch.gram_hashes(words, k)
+    kept = batch.winnow(grams, first, k, w).tolist()
+    expected = set()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        last = b - k
+        for i in range(a, max(last - w + 2, a + 1)):
+            window = range(i, min(i + w, last + 1))
+            if window:
+                expected.add(max(p for p in window if grams[p] == min(grams[q] for q in window)))
+    assert kept == sorted(expected)
+
+
+@given(st.lists(st.text(alphabet="aB9 -é\n")))
+def test_words_and_hashes_of_a_batch(texts):
+    for octets, ends in batch.slices(pa.array(["dropped", *texts], pa.string())[1:].cast(pa.binary()), 1 << 30):
+        words = batch.Words(octets, ends, WORD)
+        split = [words_of(t.encode()) for t in texts]
+        assert np.diff(words.first).tolist() == list(map(len, split))
+        assert words.hashes().tolist() == batch.word_hashes([w for s in split for w in s]).tolist()
 
 
 def test_hashes_are_of_words():
-    a, b = word_hashes(words_of("The cat's 9 été".encode())), word_hashes(words_of("9 ÉTÉ the cat été S".encode()))
+    a, b = batch.word_hashes(words_of("The cat's 9 été".encode())), batch.word_hashes(words_of("9 ÉTÉ the cat été S".encode()))
     assert a.tolist() == [b[2], b[3], b[5], b[0], b[4]] and WINDOW - GRAM + GRAM == 10
