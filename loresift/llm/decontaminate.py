@@ -18,8 +18,6 @@ from loresift.llm import batch, store
 
 WINDOW = 10
 GRAM = 5
-#: Windows or seeds up to this many rows are sent to every executor; more are joined by shuffle.
-SMALL_ROWS = 200_000
 
 WORD = bytes(
     b if b in range(0x30, 0x3A) or b in range(0x61, 0x7B) or b >= 0x80 else (b + 32 if b in range(0x41, 0x5B) else 0x20)
@@ -116,15 +114,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     known = windows.select("length", "words").distinct()
     lengths = sorted(r[0] for r in known.select("length").distinct().collect() if r[0] < window)
     kept = items.select(F.inline(fingerprints("text", lengths, window, gram))).select("hash").distinct()
-    kept = store.small(store.materialize(kept, "kept"), SMALL_ROWS)
+    kept = store.small(store.materialize(kept, "kept"))
     nominated = docs.select("row_key", F.inline(fingerprints("text", lengths, window, gram))).join(kept, "hash", "left_semi")
     seeds = store.materialize(
         nominated.groupBy("row_key").agg(F.collect_set(F.struct("at", "length")).alias("seeds")), "seeds"
     )
-    candidates = docs.join(store.small(seeds, SMALL_ROWS), "row_key").select(
+    candidates = docs.join(store.small(seeds, 64 * F.size("seeds")), "row_key").select(
         "row_key", F.inline(_candidates("text", "seeds", window, gram))
     )
-    known = store.small(store.materialize(known, "known"), SMALL_ROWS)
+    known = store.small(store.materialize(known, "known"), F.octet_length("words"))
     return windows, candidates.join(known, ["length", "words"], "left_semi").distinct()
 
 
@@ -141,11 +139,6 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def _row_key(*columns: str) -> Column:
-    """128 bits of a row's columns, as text: two hashes that start apart."""
-    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (1, 2)])
-
-
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, row (all its columns as a struct), n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -153,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark hits nothing; an empty table of documents gives no rows. Equal rows get equal answers.
     Very long texts are looked at whole. Other columns of docs, of any name, are in ``row`` only.
     """
-    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", _row_key("doc_id", "text").alias("row_key"))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", store.row_key("doc_id", "text").alias("row_key"))
     windows, found = hits(keyed.select("row_key", "text"), benchmark)
     found = store.materialize(found, "hits")
     covered = found.groupBy("row_key").agg(F.collect_set(F.struct("start", "length")).alias("_s")).select(
@@ -166,7 +159,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     per_row = store.materialize(covered.join(items, "row_key"), "contaminated")
     none = F.array().cast("array<string>")
     ids = F.coalesce("_items", none)
-    return keyed.join(store.small(per_row, SMALL_ROWS), "row_key", "left").select(
+    return keyed.join(store.small(per_row, 32 * F.size("_items")), "row_key", "left").select(
         "doc_id",
         "row",
         n_words("text").alias("n_words"),

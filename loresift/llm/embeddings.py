@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from loresift.llm import store
 from loresift.llm.components import components
-from loresift.llm.simhash import _groups
+from loresift.llm.groups import groups
 
 THRESHOLD = 0.98
 MISS = 1e-5
@@ -103,7 +103,7 @@ def linked(distinct: DataFrame, bits: int, tables: int, threshold: float) -> Dat
     )
 
     def compare(batches):
-        for table, cuts in _groups(batches, order):
+        for table, cuts in groups(batches, order):
             rep, copies, side = (table[c].to_numpy() for c in ("rep", "copies", "side"))
             low, high, no, dim = (table[c].to_numpy() for c in ("low", "high", "no", "dim"))
             codes = table["codes"].combine_chunks().flatten().to_numpy().reshape(-1, tables)

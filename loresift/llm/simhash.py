@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from loresift.llm import store
 from loresift.llm.components import components
+from loresift.llm.groups import groups
 
 SHINGLE = 4
 RADIUS = 4
@@ -130,26 +131,6 @@ def _forest(values: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int
     return links
 
 
-def _groups(batches, names):
-    """Arrow batches sorted by names as groups of equal names; a group may span batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        keys = np.stack([table[n].to_numpy() for n in names], axis=1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        if len(cuts):
-            yield table.slice(0, int(cuts[-1])), np.concatenate([[0], cuts])
-            held = table.slice(int(cuts[-1])).combine_chunks().to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        keys = np.stack([table[n].to_numpy() for n in names], axis=1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        yield table, np.concatenate([[0], cuts, [table.num_rows]])
-
-
 def _blocks(n: int, radius: int) -> tuple[int, int]:
     """Blocks of bits and how many of them must agree: enough that a key has few members among n at random."""
     for agree in (1, 2, 3, 4, 5):
@@ -191,7 +172,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
     def compare(batches):
-        for table, cuts in _groups(batches, ("key", "low", "high")):
+        for table, cuts in groups(batches, ("key", "low", "high")):
             reps, values = table["rep"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
             side = table["side"].to_numpy()
             first, size = cuts[:-1], np.diff(cuts)

@@ -10,16 +10,25 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Only on a local master, where every thread sees it.
 DEFAULT_DIR = "/tmp/checkpoints"
+#: Bytes of a table that is sent to every executor at most, and what a row of fixed width counts.
+SMALL_BYTES = 32 << 20
+ROW_BYTES = 64
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    """The folder named in spark.checkpoint.dir, or set by setCheckpointDir; a local default for a local master only."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or DEFAULT_DIR
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -49,9 +58,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(table: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a stored table if its counted rows are within max_rows, else leave the join to a shuffle."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+def small(table: DataFrame, size: Column | None = None, most: int = SMALL_BYTES) -> DataFrame:
+    """Broadcast a stored table if it is measured to be small, else leave the join to a shuffle.
+
+    size: bytes of a row's values of no fixed width, 0 where there are none. A row counts ROW_BYTES besides.
+    """
+    rows, wide = table.agg(F.count("*"), F.sum(size if size is not None else F.lit(0))).first()
+    return F.broadcast(table) if rows * ROW_BYTES + (wide or 0) <= most else table
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits of a row's columns, as text: two hashes that start apart."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (1, 2)])
 
 
 @atexit.register
