@@ -12,6 +12,7 @@ Only distinct fingerprints take part: copies join through their fingerprint.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -74,9 +75,22 @@ def _pivots() -> np.ndarray:
     return np.random.default_rng(7).integers(0, 2**64, PIVOTS, dtype=np.uint64)
 
 
-def pivot_table(values: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints to the pivots, one row each."""
-    return np.bitwise_count(values[:, None] ^ _pivots()[None, :]).astype(np.int8)
+def pivot_row(fp: str) -> list[Column]:
+    """A fingerprint's row of the pivot table: its Hamming distances to the pivots, eight bytes to a long."""
+    far = [F.bit_count(F.col(fp).bitwiseXOR(F.lit(p))).cast("long") for p in _pivots().view(np.int64).tolist()]
+    return [
+        reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(d, 8 * k) for k, d in enumerate(far[at : at + 8])]).alias(f"pivots{at // 8}")
+        for at in range(0, PIVOTS, 8)
+    ]
+
+
+PIVOT_COLUMNS = [f"pivots{k}" for k in range(PIVOTS // 8)]
+
+
+def _table(rows: pa.Table) -> np.ndarray:
+    """The pivot table of rows that carry theirs."""
+    longs = np.stack([rows[c].to_numpy() for c in PIVOT_COLUMNS], axis=1)
+    return np.ascontiguousarray(longs, "<i8").view(np.int8)
 
 
 def _near(values: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
@@ -90,7 +104,7 @@ def _near(values: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, r
     return left[np.bitwise_count(values[i[left]] ^ values[j[left]]) <= radius]
 
 
-def _forest(values: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _forest(values: np.ndarray, table: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join whatever the near pairs of one group join: one at most per member.
 
     side: -1 if the group is one chunk; else 0 or 1, and pairs across sides are looked at (those
@@ -101,7 +115,6 @@ def _forest(values: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int
     ones, others = (members[side == 0], members[side == 1]) if side[0] >= 0 else (members, members)
     if not len(ones) or not len(others):
         return []
-    table = pivot_table(values)
     links: list[tuple[int, int]] = []
     label, parent = members, members.tolist()
     most = max(1, PAIRS // len(others))
@@ -156,7 +169,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     hash into chunks, and each pair of chunks is a group of its own, so no task holds a large key.
     """
     n = distinct.count()
-    keyed = distinct.select("rep", "fp", F.explode(keys("fp", n, radius)).alias("key"))
+    table = distinct.select("rep", "fp", *pivot_row("fp"))
+    keyed = table.select("rep", "fp", *PIVOT_COLUMNS, F.explode(keys("fp", n, radius)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     dealt = keyed.join(sizes, "key").withColumn("chunks", chunks).withColumn(
@@ -169,6 +183,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         "rep",
         "fp",
+        *PIVOT_COLUMNS,
     )
 
     def compare(batches):
@@ -176,7 +191,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             reps, values = table["rep"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
             side = table["side"].to_numpy()
             first, size = cuts[:-1], np.diff(cuts)
-            table_rows, found = pivot_table(values), []
+            table_rows, found = _table(table), []
             for m in np.unique(size[size <= SMALL_GROUP]).tolist():
                 i, j = np.triu_indices(m, 1)
                 at = first[size == m][:, None]
@@ -185,7 +200,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 found.append(np.stack([i[left], j[left]], axis=1))
             for at, m in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
                 # members of the group's one chunk are compared with each other; two chunks only across
-                got = _forest(values[at : at + m], side[at : at + m], radius)
+                got = _forest(values[at : at + m], table_rows[at : at + m], side[at : at + m], radius)
                 found.append(np.array(got, np.int64).reshape(-1, 2) + at)
             every = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             yield pa.record_batch([pa.array(reps[every[:, 0]]), pa.array(reps[every[:, 1]])], ["a", "b"])
@@ -199,7 +214,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Empty and null texts have fingerprint 0 and link like any other. A null doc_id gets its
     fingerprint and its component, but names none; where no doc_id of a component is known the
-    component is null. Repeated rows fall into one component.
+    component is null. Repeated rows fall into one component. Very long texts are used whole, an
+    empty table gives no rows, and other columns of docs, of any name, are not read.
     """
     prints = store.materialize(docs.select("doc_id", fingerprints("text").alias("fp")), "prints")
     return assign(prints, radius)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from loresift.llm import simhash
@@ -72,6 +73,33 @@ def test_links_join_what_all_near_pairs_join(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def forest(values, side):
+    table = np.bitwise_count(values[:, None] ^ simhash._pivots()[None, :]).astype(np.int8)
+    return simhash._forest(values, table, side, RADIUS)
+
+
+@pytest.mark.parametrize("n", [600, 2048, 5000])
+def test_forest_of_large_groups_in_any_order(n):
+    rng = random.Random(n)
+    centre = rng.getrandbits(64)
+    ball = [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for _ in range(n // 2)]
+    fps = list(dict.fromkeys(bridged(rng, n) + ball))[-n:]
+    near = np.array(fps, np.uint64)
+    edges = [(i, j) for i in range(n) for j in np.flatnonzero(np.bitwise_count(near[: i + 1] ^ near[i]) <= RADIUS).tolist() if j < i]
+    expected = edges_components(n, edges)
+    for _ in range(3):
+        order = np.array(rng.sample(range(n), n))
+        found = [(int(order[a]), int(order[b])) for a, b in forest(near[order], np.full(n, -1))]
+        assert edges_components(n, found) == expected
+
+
+def test_pivot_rows(spark):
+    fps = [0, 1, 2**63 - 1, -1, -(2**63), 123456789]
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long").select("fp", *simhash.pivot_row("fp")).toArrow()
+    table = np.bitwise_count(rows["fp"].to_numpy().view(np.uint64)[:, None] ^ simhash._pivots()[None, :])
+    assert (simhash._table(rows) == table).all()
+
+
 def bridged(rng, fillers):
     """Distinct fingerprints of one key: far ends first, what alone joins them last; links differ in 4 of the 5 blocks."""
     low, edges = rng.getrandbits(12), [12, 25, 38, 51, 64]
@@ -96,10 +124,10 @@ def test_forest_joins_what_all_near_pairs_of_a_large_group_join(spark, monkeypat
     rng = random.Random(11)
     fps = bridged(rng, 1500)
     n, values = len(fps), np.array(fps, np.uint64)
-    assert n > 1500 and brute_components(fps) == edges_components(n, simhash._forest(values, np.full(n, -1), RADIUS))
+    assert n > 1500 and brute_components(fps) == edges_components(n, forest(values, np.full(n, -1)))
     side = np.array([rng.randrange(2) for _ in fps])
     across = [(i, j) for i in range(n) for j in range(i) if side[i] != side[j] and (fps[i] ^ fps[j]).bit_count() <= RADIUS]
-    assert edges_components(n, across) == edges_components(n, simhash._forest(values, side, RADIUS))
+    assert edges_components(n, across) == edges_components(n, forest(values, side))
     df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values.view(np.int64))], "rep long, fp long")
     for chunk in (CHUNK, 700):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
@@ -112,14 +140,15 @@ def test_rows(spark):
     rows = [
         (5, " ".join(base), "x"), (3, " ".join(near), "x"), (9, " ".join(base).upper(), "y"), (7, "", "x"), (8, None, None),
         (None, " ".join(base), "x"), (None, "quite another text", "x"), (11, "alone in the world", "x"), (11, "alone in the world", "x"),
+        (12, "very long text " * 100_000 + "end", "x"), (13, "very long text " * 100_000 + "end", "x"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_duplicates(docs).collect())
     assert brute_components([slow_fingerprint(r[1]) for r in rows])[1] == 0
-    assert got == [(-1, -1), (-1, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 3), (11, 11), (11, 11)]
+    assert got == [(-1, -1), (-1, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 3), (11, 11), (11, 11), (12, 12), (13, 12)]
     stay = kept(docs)
     assert stay.columns == docs.columns
-    assert sorted((r.doc_id or -1) for r in stay.collect()) == [-1, 3, 7, 11]
+    assert sorted((r.doc_id or -1) for r in stay.collect()) == [-1, 3, 7, 11, 12]
 
 
 def test_empty_table(spark):
