@@ -2,9 +2,10 @@
 
 Each table hashes a vector to the signs of its products with random hyperplanes; vectors that
 share a table's bucket are compared by exact cosine in double precision, block against block.
-Wider buckets' numbers follow from the number of vectors, and the number of tables from the
-bits, so that a pair at the threshold shares no bucket with a probability of MISS at most.
-Only distinct vectors are hashed; copies are counted.
+The bits of a bucket follow from the number of vectors, so that a bucket has some CHUNK members,
+and the number of tables from the bits, so that a pair at the threshold shares no bucket with a
+probability of MISS at most. Only distinct vectors are hashed; copies are counted. What is moved
+is each table's vectors once, as they are stored, and the signs of all tables as bits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loresift.llm import store
 from loresift.llm.components import components
@@ -32,7 +32,7 @@ CHUNK = 1024
 def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """Bits of a bucket and number of tables for n vectors."""
     same = 1 - math.acos(threshold) / math.pi
-    bits = min(24, max(6, n.bit_length() - 4))
+    bits = min(24, max(4, n.bit_length() - CHUNK.bit_length() + 1))
     return bits, math.ceil(math.log(MISS) / math.log1p(-(same**bits)))
 
 
@@ -48,22 +48,28 @@ def valid(vector: str, label: str) -> Column:
     return F.coalesce(F.col(label).isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def buckets(vector: str, bits: int, tables: int) -> Column:
-    """Struct of a vector's bucket in every table, and its components as binary (double)."""
-    kind = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
+def buckets(vector: str, bits: int, tables: int, kind: str) -> Column:
+    """Struct of a vector's bucket in every table, all its signs as bits, and its components (kind <f4 or <f8)."""
 
     def compute(vectors: pa.Array) -> pa.Array:
-        rows = [np.asarray(v, np.float64) for v in vectors.to_pylist()]
-        codes = np.zeros((len(rows), tables), np.int32)
+        rows = [np.asarray(v, kind) for v in vectors.to_pylist()]
+        signs = np.zeros((len(rows), tables * bits), bool)
         dims = np.array([len(r) for r in rows])
         for dim in np.unique(dims).tolist():
             at = np.flatnonzero(dims == dim)
-            signs = np.stack([rows[i] for i in at]) @ _planes(dim, bits, tables) > 0
-            codes[at] = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(codes.ravel()))
-        return pa.StructArray.from_arrays([flat, pa.array([r.tobytes() for r in rows], pa.binary())], ["codes", "data"])
+            signs[at] = np.stack([rows[i] for i in at]).astype(np.float64) @ _planes(dim, bits, tables) > 0
+        codes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(_codes(signs, bits).ravel()))
+        packed = [r.tobytes() for r in np.packbits(signs, axis=1)]
+        return pa.StructArray.from_arrays(
+            [codes, pa.array(packed, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], ["codes", "signs", "data"]
+        )
+
+    return F.arrow_udf(compute, "struct<codes:array<int>,signs:binary,data:binary>")(F.col(vector))
 
-    return F.arrow_udf(compute, kind)(F.col(vector))
+
+def _codes(signs: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of each row in every table."""
+    return (signs.reshape(len(signs), -1, bits) @ (1 << np.arange(bits))).astype(np.int32)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -86,31 +92,35 @@ def linked(distinct: DataFrame, bits: int, tables: int, threshold: float) -> Dat
     distinct: rep, label, embedding, copies. A bucket with more than CHUNK members is dealt by
     hash into chunks, and each pair of chunks is a group of its own.
     """
-    order = ("label", "dim", "no", "code", "low", "high")
-    hashed = distinct.select("rep", "label", "copies", F.size("embedding").alias("dim"), buckets("embedding", bits, tables).alias("b"))
-    hashed = store.materialize(hashed.select("rep", "label", "copies", "dim", "b.codes", "b.data"), "hashed")
-    spread = hashed.select("*", F.posexplode("codes").alias("no", "code"))
-    members = spread.groupBy("label", "dim", "no", "code").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = spread.join(members, ["label", "dim", "no", "code"]).withColumn(
-        "chunks", F.ceil(F.col("members") / CHUNK).cast("int")
-    ).withColumn("mine", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    bucket = ("label", "dim", "no", "code")
+    order = (*bucket, "low", "high")
+    kind = "<f4" if distinct.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    hashed = distinct.select("rep", "label", "copies", F.size("embedding").alias("dim"), buckets("embedding", bits, tables, kind).alias("b"))
+    hashed = store.materialize(hashed.select("rep", "label", "copies", "dim", "b.*"), "hashed")
+    many = hashed.select("label", "dim", F.posexplode("codes").alias("no", "code")).groupBy(*bucket).agg(F.count("*").alias("members"))
+    many = many.where(F.col("members") > CHUNK).select(*bucket, F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
+    spread = hashed.select("rep", "label", "copies", "dim", "signs", "data", F.posexplode("codes").alias("no", "code"))
+    chunks = F.coalesce("chunks", F.lit(1))
+    dealt = spread.join(store.small(store.materialize(many, "many")), list(bucket), "left").withColumn("chunks", chunks)
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "label", "dim", "no", "code",
+        *bucket,
         F.least("mine", "other").alias("low"),
         F.greatest("mine", "other").alias("high"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"),
-        "rep", "copies", "codes", "data",
+        "rep", "copies", "signs", "data",
     )
 
     def compare(batches):
         for table, cuts in groups(batches, order):
             rep, copies, side = (table[c].to_numpy() for c in ("rep", "copies", "side"))
             low, high, no, dim = (table[c].to_numpy() for c in ("low", "high", "no", "dim"))
-            codes = table["codes"].combine_chunks().flatten().to_numpy().reshape(-1, tables)
-            data = table["data"].to_pylist()
+            data, signs = table["data"].to_pylist(), table["signs"].to_pylist()
             out = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                x = np.frombuffer(b"".join(data[a:b])).reshape(b - a, dim[a])
+                if b - a == 1:
+                    continue
+                x = np.frombuffer(b"".join(data[a:b]), kind).reshape(b - a, dim[a]).astype(np.float64)
                 x = x / np.sqrt((x * x).sum(axis=1))[:, None]
                 if low[a] == high[a]:
                     i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
@@ -120,12 +130,15 @@ def linked(distinct: DataFrame, bits: int, tables: int, threshold: float) -> Dat
                     i, j = one[i], two[j]
                 if not len(i):
                     continue
-                own = codes[a:b, : no[a]]
-                first = ~(own[i] == own[j]).any(axis=1)
+                used = np.unique(np.concatenate([i, j]))
+                packed = np.frombuffer(b"".join(signs[a + k] for k in used.tolist()), np.uint8).reshape(len(used), -1)
+                own = np.zeros((b - a, no[a]), np.int32)
+                own[used] = _codes(np.unpackbits(packed, axis=1)[:, : tables * bits], bits)[:, : no[a]]
+                first = ~(own[i] == own[j]).any(axis=1)  # no earlier table has found the pair
                 n = np.zeros(b - a, np.int64)
                 np.add.at(n, i[first], copies[a:b][j[first]])
                 np.add.at(n, j[first], copies[a:b][i[first]])
-                root, used = _roots(b - a, i, j), np.unique(np.concatenate([i, j]))
+                root = _roots(b - a, i, j)
                 out.append(np.stack([rep[a:b][used], n[used], rep[a:b][root[used]]]))
             rows = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
             yield pa.record_batch([pa.array(r) for r in rows], ["rep", "n", "root"])
@@ -139,7 +152,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Vectors link within equal labels and lengths only. Null, zero or non-finite vectors, those
     without a label and rows without a vec_id link with nothing: 0 links, their own component.
     Copies of a vector link with each other; repeated rows of one vec_id count as copies, and
-    where one vec_id has several vectors, they share their links.
+    where one vec_id has several vectors, they share their links. An empty table gives no rows;
+    vectors of any length, and other columns of any name, are taken as they are.
     """
     rows = vectors.select("vec_id", "label", "embedding", (valid("embedding", "label") & F.col("vec_id").isNotNull()).alias("ok"))
     able = rows.where("ok")
