@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Only on a local master, where every thread sees it.
 DEFAULT_DIR = "/tmp/checkpoints"
 #: Bytes of a table that is sent to every executor at most, and what a row of fixed width counts.
-SMALL_BYTES = 32 << 20
+SMALL_BYTES = 64 << 20
 ROW_BYTES = 64
 
 _written: list[tuple[SparkSession, str]] = []

@@ -27,6 +27,8 @@ from loresift.llm.batch import binaries, slices, spans
 from loresift.llm.pieces import WordPieces
 
 END_ID = 2
+#: Bytes of text encoded at once: the more, the fewer pieces are looked up again.
+TEXT_SLICE = 4 << 20
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _TAKES = _LENGTHS.sum(axis=1)
@@ -87,7 +89,7 @@ def token_ids(text: str, path: str) -> Column:
 
     def encode(texts: pa.Array) -> pa.Array:
         parts = []
-        for octets, ends in slices(texts):
+        for octets, ends in slices(texts, TEXT_SLICE):
             ids, counts = encoder(path).ids(octets, ends)
             ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4")
             parts.append((ids.view(np.uint8), 4 * (counts + 1)))
