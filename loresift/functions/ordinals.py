@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loresift.functions.storage import stored
+
 
 def running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over all rows that sort before a row by ``order`` (a unique column).
 
     Rows are range-partitioned; only one number per range goes through a single task. The ranged
-    rows are cached, so both readers see one and the same split.
+    rows are stored, so both readers see one and the same split.
     """
-    ranged = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).persist()
+    ranged = stored(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
     ahead = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = ranged.groupBy("_range").agg(F.sum(value).alias("_n")).select(
         "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset")

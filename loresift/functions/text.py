@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -101,12 +102,12 @@ def variants(span: str | Column) -> Column:
 
 
 def split_at(toks: str | Column, delimiter: str) -> Column:
-    """Struct of the tokens before (with) a delimiter and after it; all are body where there is none."""
+    """Struct of the tokens before a delimiter and after it; all are body where there is none."""
     t = column(toks)
     at = F.array_position(t, delimiter)
     none = F.array().cast("array<string>")
     return F.struct(
-        F.when(at > 0, F.slice(t, F.lit(1), at.cast("int"))).otherwise(none).alias("title"),
+        F.when(at > 1, F.slice(t, F.lit(1), at.cast("int") - 1)).otherwise(none).alias("title"),
         F.when(at > 0, F.slice(t, at.cast("int") + 1, F.size(t))).otherwise(t).alias("body"),
     )
 
@@ -120,10 +121,61 @@ def strip_ends(toks: str | Column, first: list[str], last: list[str]) -> Column:
     return F.when(low <= high, F.slice(t, low + 1, high - low + 1)).otherwise(F.array().cast("array<string>"))
 
 
-def is_good(word: str | Column) -> Column:
-    """Whether a span may start or end on a word: no function word, sentence end or opening bracket."""
+def drop_second(toks: str | Column) -> Column:
+    """Tokens without the second."""
+    t = column(toks)
+    return F.concat(F.slice(t, 1, 1), F.slice(t, 3, F.greatest(F.size(t), F.lit(0))))
+
+
+def with_first(toks: str | Column, first: str) -> Column:
+    """Tokens with ``first`` in front, unless it is there."""
+    t = column(toks)
+    return F.when(F.try_element_at(t, F.lit(1)) == first, t).otherwise(F.concat(F.array(F.lit(first)), t))
+
+
+# What a query is followed by for each kind of key, and where the answer must be trustworthy.
+KIND_MARKS = {"body": "|| body", "title": "|| title", "code": "|| code"}
+TRUST_MARK = "|| +"
+
+
+def prompt(query: str | Column, kind: str = "body", space: bool = True, markers: bool = True, trusted: bool = True) -> Column:
+    """A query as a key generator is asked it: trimmed, a space in front if wanted, marked with the kind and the trust asked for."""
+    marks = [F.lit(KIND_MARKS[kind])] * markers + [F.lit(TRUST_MARK)] * trusted
+    return F.concat(F.lit(" " * space), F.concat_ws(" ", F.trim(column(query)), *marks))
+
+
+def subwords(text: str | Column, path: str, space: bool = True) -> Column:
+    """Pieces of a text by the tokenizers library's file at path, as strings; the end token is the index's to add."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(path)
+        return texts.map(lambda t: encoder.encode((" " if space else "") + t.strip(), add_special_tokens=False).tokens if t is not None else None)
+
+    return cut(column(text))
+
+
+def detokenized(toks: str | Column, path: str | None = None) -> Column:
+    """Text of tokens: joined by spaces, or decoded by the tokenizers library's file at path; trimmed, empty for no tokens."""
+    if path is None:
+        return F.trim(F.array_join(column(toks), " "))
+
+    @F.pandas_udf(T.StringType())
+    def join(rows: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(path)
+        return rows.map(lambda t: encoder.decode([encoder.token_to_id(x) for x in t], skip_special_tokens=True).strip() if t is not None else None)
+
+    return join(column(toks))
+
+
+def is_good(word: str | Column, stop: Sequence[str] = STOPWORDS, fold: bool = True) -> Column:
+    """Whether a span may start on a word: none of the words to stop at (in lower case, unless fold is off), no sentence end, no opening bracket."""
     w = column(word)
-    return ~F.lower(w).isin(STOPWORDS) & ~w.rlike(r"[?.!]$") & ~w.rlike(r"^[(\[]")
+    return ~(F.lower(w) if fold else w).isin(list(stop)) & ~w.rlike(r"[?.!]$") & ~w.rlike(r"^[(\[]")
 
 
 def draw(*parts: str | Column) -> Column:

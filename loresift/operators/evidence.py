@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def key_order(options) -> list:
@@ -41,20 +43,77 @@ def discounted(hits: DataFrame, options) -> DataFrame:
 
 
 def candidates(keys: DataFrame, occurrences: DataFrame, options) -> DataFrame:
-    """Stage 1: (query, doc, first_score) by rare keys only, cut to the n_docs_complete_score best of each query."""
+    """Stage 1: (query, doc, first_score) by rare keys only, cut to the n_docs_complete_score best of each query.
+
+    Without overlaps a key counts where one of its occurrences lies free of better keys; the
+    greatest key of a document is taken from all its rare keys, counted or not.
+    """
     rare = keys.where("kind = 'rare'")
-    hits = occurrences.select("ngram", "doc").distinct().join(rare, "ngram").select("query", "doc", "ngram", "score")
-    summed = discounted(hits, options).groupBy("query", "doc").agg(F.sum("credit").alias("total"), F.max("score").alias("best"))
-    score = (1 - options.single_key) * F.col("total") + options.single_key * F.col("best")
+    at = occurrences.join(rare, "ngram")
+    hits = at.select("query", "doc", "ngram", "n", "count", "score").distinct()
+    counted = hits if options.allow_overlaps else free_keys(at)
+    credits = discounted(counted.select("query", "doc", "ngram", "score"), options)
+    summed = credits.groupBy("query", "doc").agg(F.sum("credit").alias("total"))
+    greatest = hits.groupBy("query", "doc").agg(F.min_by("score", F.struct(*_ascending(options))).alias("best"))
+    score = (1 - options.single_key) * F.coalesce("total", F.lit(0.0)) + options.single_key * F.col("best")
     best = W.partitionBy("query").orderBy(F.desc(F.round("first_score", 9)), "doc")
     return (
-        summed.select("query", "doc", score.alias("first_score"))
+        greatest.join(summed, ["query", "doc"], "left")
+        .select("query", "doc", score.alias("first_score"))
         .withColumn("_r", F.row_number().over(best))
         .where(F.col("_r") <= options.n_docs_complete_score)
         .drop("_r")
     )
 
 
+def _walked(hits: DataFrame, walk) -> DataFrame:
+    """(query, doc, ngram, credit) by a function of the sorted occurrences (ngram, score, pos) of each document and query.
+
+    Inherently sequential within a document, so Python; documents follow one another in Arrow
+    batches, so there is no cost for each group, and what is held is one document's occurrences.
+    """
+    group = ["query", "doc"]
+    order = [*group, "_s", "ngram", "pos"]
+    rows = hits.select(*group, (-F.col("score")).alias("_s"), "ngram", "pos").repartition(*group).sortWithinPartitions(*order)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+
+    def walk_all(batches):
+        now, held = None, []
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in order]
+            for query, doc, *hit in zip(*columns, strict=True):
+                if now != (query, doc):
+                    out += [(*now, *x) for x in walk(held)] if held else []
+                    now, held = (query, doc), []
+                held.append(hit)
+            yield _batch(out)
+        yield _batch([(*now, *x) for x in walk(held)] if held else [])
+
+    def _batch(rows_: list) -> pa.RecordBatch:
+        columns = list(zip(*rows_, strict=True)) if rows_ else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    result = T.StructType([T.StructField("query", kinds["query"]), T.StructField("doc", kinds["doc"]), T.StructField("ngram", T.StringType()), T.StructField("credit", T.DoubleType())])
+    schema = to_arrow_schema(result)
+    return rows.mapInArrow(walk_all, result)
+
+
+def free_keys(hits: DataFrame) -> DataFrame:
+    """Distinct (query, doc, ngram, score): keys with an occurrence (pos) that no better key's counted occurrence overlaps."""
+
+    def walk(held):
+        taken, counted = set(), {}
+        for minus, ngram, pos in held:
+            places = range(pos, pos + ngram.count(" ") + 1)
+            if taken.isdisjoint(places):
+                taken.update(places)
+                counted.setdefault(ngram, -minus)
+        return list(counted.items())
+
+    return _walked(hits, walk).withColumnRenamed("credit", "score")
+
+
 def full_scores(keys: DataFrame, occurrences: DataFrame, first: DataFrame, unigrams: DataFrame, docs: DataFrame, options) -> DataFrame:
     """Stage 2: (query, doc, score, best_key, best_score) by all keys, for the candidates of stage 1."""
     hits = occurrences.join(keys, "ngram").join(first.select("query", "doc"), ["query", "doc"], "left_semi")
@@ -92,38 +151,32 @@ def _ascending(options) -> list:
 
 
 def greedy(hits: DataFrame, options) -> DataFrame:
-    """Credit of keys that may not overlap: occurrences in order of (-score, key, position) take free positions.
-
-    Inherently sequential, so a Python function per (query, doc); its input is bounded by the document.
-    """
+    """Credit of keys that may not overlap: occurrences in order of (-score, key, position) take free positions."""
     beta = options.repetition_penalty
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(held):
         taken, covered, credit = set(), set(), {}
-        ordered = rows.assign(_s=-rows["score"]).sort_values(["_s", "ngram", "pos"])
-        for ngram, score, pos in zip(ordered["ngram"], ordered["score"], ordered["pos"], strict=True):
+        for minus, ngram, pos in held:
             toks = ngram.split(" ")
-            places = range(pos, pos + len(toks))
-            types = set(toks)
-            new = score * (1 - beta + beta * len(types - covered) / len(types)) if covered else score
+            places, types = range(pos, pos + len(toks)), set(toks)
+            new = -minus * (1 - beta + beta * len(types - covered) / len(types)) if covered else -minus
             if new <= 0 or not taken.isdisjoint(places):
                 continue
             taken.update(places)
             if ngram not in credit:
                 credit[ngram] = new
                 covered |= types
-        return pd.DataFrame(
-            {"query": rows["query"].iloc[0], "doc": rows["doc"].iloc[0], "ngram": list(credit), "credit": list(credit.values())}
-        )
+        return list(credit.items())
 
-    kinds = dict(hits.dtypes)
-    return hits.groupBy("query", "doc").applyInPandas(walk, f"query {kinds['query']}, doc {kinds['doc']}, ngram string, credit double")
+    return _walked(hits, walk)
 
 
 def unigram_credit(credits, unigrams, first, docs, hits, options) -> DataFrame:
     """(query, doc, extra): scores of single tokens of the candidates that keys leave over, less for types already used."""
     used = credits.select("query", "doc", F.explode(F.array_distinct(F.split("ngram", " "))).alias("token")).distinct().withColumn("used", F.lit(True))
     wanted = first.select("query", "doc").join(unigrams.select("query", "token", "score"), "query")
+    # only the candidates' tokens are laid out
+    docs = docs.join(first.select("doc").distinct(), "doc", "left_semi")
     present = docs.select("doc", F.explode(F.array_distinct("toks")).alias("token"))
     if not options.unigrams_ignore_free_places:
         spot = hits.select("query", "doc", "ngram", "pos").join(credits.select("query", "doc", "ngram"), ["query", "doc", "ngram"], "left_semi")

@@ -1,7 +1,7 @@
 """Beam search over keys that the corpus holds.
 
-A beam is a row (query, ngram, n, lp). A step joins the beams with the tokens that follow them
-in the corpus, so an impossible key never comes up; the best 2 x beam of a query are all kept
+A beam is a row (query, ngram, n, lp). Where the corpus holds the beams is kept from step to step,
+so a step looks one token on at those places only, and an impossible key never comes up; the best 2 x beam of a query are all kept
 as keys, and the best beam of them that have not ended go on. Steps are few (the length).
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loresift.functions.text import EOS, draw
+from loresift.functions.storage import stored
+from loresift.functions.text import EOS, drop_second, draw, strip_ends, with_first
 from loresift.operators import match
 
 
@@ -22,6 +23,8 @@ from loresift.operators import match
 class BeamOptions:
     length: int = 10
     beam: int = 15
+    #: Token that ends a key, besides the end of a document.
+    end: str = EOS
     topk: int = 0
     stop_at_count: int = 0
     always_allow_eos: bool = False
@@ -60,14 +63,30 @@ def _token_lp(found: DataFrame, queries: DataFrame, token_counts: DataFrame, tot
     )
 
 
-def _following(beams: DataFrame, docs: DataFrame, options: BeamOptions) -> DataFrame:
+def _starts(beams: DataFrame, docs: DataFrame, forced: str | None) -> DataFrame:
+    """Where beams of one token end: (ngram, doc, at). The end token also stands before every document."""
+    tokens = match.few(beams.select("ngram").distinct())
+    found = docs.select("doc", F.posexplode("toks").alias("at", "ngram")).join(tokens, "ngram").select("ngram", "doc", "at")
+    if forced == EOS:
+        found = found.unionByName(docs.select(F.lit(EOS).alias("ngram"), "doc", F.lit(-1).alias("at")))
+    return found
+
+
+def _followers(spots: DataFrame, docs: DataFrame) -> DataFrame:
+    """The tokens that follow: spots (ngram, doc, at) as (ngram, next, doc, at one on), stored.
+
+    A document's spots are placed in its tokens once; where they are few, adaptive execution sends
+    them to the documents.
+    """
+    per_doc = spots.groupBy("doc").agg(F.collect_list(F.struct("ngram", "at")).alias("spots"))
+    held = docs.join(per_doc, "doc")
+    one_on = F.transform("spots", lambda s: F.struct(s["ngram"].alias("ngram"), F.try_element_at("toks", s["at"] + 2).alias("next"), (s["at"] + 1).alias("at")))
+    return stored(held.select("doc", F.inline(one_on)).where("next is not null"), "followers")
+
+
+def _following(beams: DataFrame, followers: DataFrame, options: BeamOptions) -> DataFrame:
     """beams with ``next`` and ``count``, the occurrences of the beam itself."""
-    longest = [r[0] for r in beams.select("n").distinct().collect()]
-    prefixes = match.few(beams.select("ngram").distinct())
-    parts = F.split("run", " ")
-    runs = match.runs(docs, sorted({n + 1 for n in longest}), EOS if options.forced_prefix else None).withColumnRenamed("ngram", "run")
-    cut = runs.select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " ").alias("ngram"), F.element_at(parts, -1).alias("next"))
-    counted = cut.join(prefixes, "ngram", "left_semi").groupBy("ngram", "next").agg(F.count("*").alias("c"))
+    counted = followers.groupBy("ngram", "next").agg(F.count("*").alias("c"))
     with_total = counted.withColumn("count", F.sum("c").over(W.partitionBy("ngram")))
     found = beams.join(with_total.drop("c"), "ngram")
     if options.stop_at_count:
@@ -101,16 +120,26 @@ def _pick(found: DataFrame, options: BeamOptions, step: int) -> DataFrame:
 
 
 def generate(queries: DataFrame, index, token_counts: DataFrame, total, options: BeamOptions, mu: float = 10.0) -> DataFrame:
-    """Keys (query, ngram, n, lp, step, rank) for queries (query, toks); lp is divided by n ** length_penalty."""
+    """Keys (query, ngram, n, lp, step, rank) for queries (query, toks); lp is divided by n ** length_penalty.
+
+    Every step's beams are stored: their lineage is cut, and their reader reads one and the same draw.
+    """
     queries = queries.where(F.size("toks") > 0)
     most = 2 * options.beam
     start = queries.select("query", F.lit(options.forced_prefix or "").alias("ngram"), F.lit(1 if options.forced_prefix else 0).alias("n"), F.lit(0.0).alias("lp"))
     beams, kept = start, []
+    followers = None
     for step in range(1, options.length + 1):
         if (step == 1 and not options.forced_prefix) or options.free:
             found = beams.join(first_tokens(queries, token_counts, most, options.sample is not None), "query").withColumn("count", F.lit(None).cast("long"))
         else:
-            found = _following(beams, index.docs, options)
+            if followers is None:
+                spots = _starts(beams, index.docs, options.forced_prefix)
+            else:
+                grown = followers.select(F.concat_ws(" ", "ngram", "next").alias("ngram"), "doc", "at")
+                spots = grown.join(beams.select("ngram").distinct(), "ngram", "left_semi")
+            followers = _followers(spots, index.docs)
+            found = _following(beams, followers, options)
         found = _token_lp(found, queries, token_counts, total, mu)
         if options.topk:
             per_beam = W.partitionBy("query", "ngram")
@@ -124,9 +153,10 @@ def generate(queries: DataFrame, index, token_counts: DataFrame, total, options:
             F.col("score").alias("lp"),
             F.lit(step).alias("step"),
             "rank",
-            (F.col("next") == EOS).alias("ended"),
+            F.col("next").isin(EOS, options.end).alias("ended"),
             "_g",
-        ).persist()
+        )
+        best = stored(best, "beams")
         kept.append(best)
         alive = W.partitionBy("query", "_g").orderBy("rank")
         width = max(1, options.beam // options.groups)
@@ -136,14 +166,46 @@ def generate(queries: DataFrame, index, token_counts: DataFrame, total, options:
             .where(F.col("_a") <= width)
             .select("query", "ngram", "n", "lp")
         )
+        if step < options.length and beams.isEmpty():
+            break
     every = reduce(DataFrame.unionByName, kept)
     return every.select("query", "ngram", "n", (F.col("lp") / F.pow("n", F.lit(options.length_penalty))).alias("lp"), "step", "rank")
 
 
-def finished_titles(keys: DataFrame, end: str, partial: bool = False) -> DataFrame:
-    """Keys that reach a title's (or code's) end; with partial, all."""
-    return keys if partial else keys.where(F.element_at(F.split("ngram", " "), -1) == end)
+def _cut(keys: DataFrame, toks: Column) -> DataFrame:
+    cut = keys.select("query", toks.alias("toks"), "lp").where(F.size("toks") > 0)
+    return cut.select("query", F.array_join("toks", " ").alias("ngram"), F.size("toks").alias("n"), "lp")
+
+
+def body_keys(keys: DataFrame, exactly: int = 0, special: tuple[str, ...] = (EOS,)) -> DataFrame:
+    """Generated keys without special tokens at their ends (two in front, one behind at most); of one length only, if asked."""
+    toks = F.split("ngram", " ")
+    for _ in range(2):
+        toks = F.when(F.try_element_at(toks, F.lit(1)).isin(*special), F.slice(toks, 2, F.size(toks))).otherwise(toks)
+    return of_length(_cut(keys, strip_ends(toks, [], list(special))), exactly)
+
+
+def title_keys(keys: DataFrame, first: str, end: str, partial: bool = False, exactly: int = 0, forced_second: bool = False) -> DataFrame:
+    """Keys generated from a title's first token: without a forced second token, complete unless partial, with the first token in front."""
+    toks = F.split("ngram", " ")
+    found = keys.where(F.size(toks) >= 3) if forced_second else keys
+    cut = _cut(found, drop_second(toks) if forced_second else toks)
+    if not partial:
+        cut = of_length(cut.where(F.try_element_at(F.split("ngram", " "), F.lit(-1)) == end), exactly + 1 if exactly else 0)
+    return _cut(cut, with_first(F.split("ngram", " "), first))
+
+
+def code_keys(keys: DataFrame, first: str, end: str, partial: bool = False, forced_second: bool = False) -> DataFrame:
+    """Keys generated from a code's first token, which is taken off and put back; complete unless partial."""
+    toks = F.split("ngram", " ")
+    found = keys.where(F.size(toks) >= 2) if forced_second else keys
+    toks = drop_second(toks) if forced_second else toks
+    cut = _cut(found, F.slice(toks, 2, F.size(toks)))
+    if not partial:
+        cut = cut.where(F.try_element_at(F.split("ngram", " "), F.lit(-1)) == end)
+    return _cut(cut, with_first(F.split("ngram", " "), first))
 
 
 def of_length(keys: DataFrame, n: int) -> DataFrame:
+    """Keys of n tokens; all, if n is 0."""
     return keys.where(F.col("n") == n) if n else keys

@@ -1,14 +1,16 @@
 """Finding keys (runs of tokens) in documents by equi-joins.
 
-Two plans give the same occurrences. By explosion: the documents' runs of the keys' lengths
-meet the keys; nothing is shuffled while the keys are few enough to broadcast, which is
-counted first. By rarest token: each key meets the postings of its rarest token only, and the
-tokens around are compared; made for long keys, whose runs would multiply the text.
+Two plans give the same occurrences. By explosion: the documents' tokens are laid out next to
+those that follow them, positions without a key's first token go, and the runs of the keys'
+lengths that are left meet the keys; nothing is shuffled while the keys are few enough to
+broadcast, which is counted first. By rarest token: each key meets the postings of its rarest
+token only, and the tokens around are compared in each document once; made for long keys, whose
+runs would multiply the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,11 +43,38 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
+def windows(docs: DataFrame, n: int, eos_before: str | None = None) -> DataFrame:
+    """Every token with those after it: (doc, pos, t1, ..., tn); null beyond a document's end. With eos_before, positions start at -1."""
+    toks = F.concat(F.array(F.lit(eos_before)), "toks") if eos_before else F.col("toks")
+    laid = docs.select("doc", toks.alias("toks"))
+    columns = [F.slice("toks", k, F.greatest(F.size("toks") - k + 1, F.lit(0))).alias(f"t{k}") for k in range(1, n + 1)]
+    rows = laid.select("doc", F.posexplode(F.arrays_zip(*columns)).alias("pos", "w"))
+    first = -1 if eos_before else 0
+    return rows.select("doc", (F.col("pos") + first).cast("int").alias("pos"), "w.*")
+
+
+def starting(docs: DataFrame, keys: DataFrame, n: int, eos_before: str | None = None) -> DataFrame:
+    """The windows of n tokens that start with the first token of one of the keys (ngram)."""
+    first = keys.select(F.element_at(F.split("ngram", " "), 1).alias("t1")).distinct()
+    return windows(docs, n, eos_before).join(few(first), "t1", "left_semi")
+
+
+def joined(n: int) -> Column:
+    """The first n tokens of a window as one string; null where it is shorter."""
+    columns = [F.col(f"t{k}") for k in range(1, n + 1)]
+    return F.when(columns[-1].isNotNull(), F.concat_ws(" ", *columns))
+
+
 def by_explosion(docs: DataFrame, keys: DataFrame, eos_before: str | None = None) -> DataFrame:
-    lengths = sorted(r[0] for r in keys.select("n").distinct().collect())
-    if not lengths:
-        lengths = [1]
-    return runs(docs, lengths, eos_before).join(few(keys.select("ngram").distinct()), "ngram").select("ngram", "doc", "pos")
+    keys = keys.select("ngram", "n").distinct()
+    lengths = sorted(r[0] for r in keys.select("n").distinct().collect()) or [1]
+    found = starting(docs, keys, lengths[-1], eos_before)
+    if eos_before:
+        # the end token alone belongs to its document's end
+        each = F.array(*[F.when((F.col("pos") >= 0) | F.lit(n > 1), joined(n)) for n in lengths])
+    else:
+        each = F.array(*[joined(n) for n in lengths])
+    return found.select("doc", "pos", F.explode(each).alias("ngram")).join(few(keys.select("ngram")), "ngram").select("ngram", "doc", "pos")
 
 
 def by_rarest_token(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -57,12 +86,15 @@ def by_rarest_token(docs: DataFrame, keys: DataFrame) -> DataFrame:
         pieces.join(counts, "token", "left").withColumn("r", F.row_number().over(order)).where("r = 1 and count is not null")
     )
     wanted = few(rarest.select("ngram", "off", "token"))
-    starts = docs.select("doc", "toks", F.posexplode("toks").alias("at", "token")).join(wanted, "token")
-    n = F.size(F.split("ngram", " "))
-    start = F.col("at") - F.col("off")
-    return starts.where((start >= 0) & (F.array_join(F.slice("toks", F.greatest(start, F.lit(0)) + 1, n), " ") == F.col("ngram"))).select(
-        "ngram", "doc", start.alias("pos")
-    )
+    # positions first, a document's tokens once: they are not copied to every posting
+    starts = postings.join(wanted, "token").select("doc", F.struct("ngram", (F.col("pos") - F.col("off")).alias("pos")).alias("s")).where("s.pos >= 0")
+    spots = starts.groupBy("doc").agg(F.collect_list("s").alias("spots"))
+
+    def holds(s):
+        return F.array_join(F.slice("toks", s["pos"] + 1, F.size(F.split(s["ngram"], " "))), " ") == s["ngram"]
+
+    held = docs.join(spots, "doc").select("doc", F.inline(F.filter("spots", holds)))
+    return held.select("ngram", "doc", "pos")
 
 
 def occurrences(docs: DataFrame, keys: DataFrame, eos_before: str | None = None) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import cached_property
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loresift.functions import scoring
-from loresift.functions.text import EOS, clean, draw, tokens, variants, with_title
+from loresift.functions.storage import stored
+from loresift.functions.text import EOS, prompt, tokens, with_title
 from loresift.operators import evidence, keys, match, training
+from loresift.operators import generate as generation
 from loresift.operators.generate import BeamOptions, generate
 from loresift.operators.index import CorpusIndex
 from loresift.plans.fragments import with_needed
@@ -18,7 +20,7 @@ from loresift.sources import writers
 QUERIES = {}
 ORACLE_SQL = {}
 
-OPTIONS = Options(allow_overlaps=True, unigrams_ignore_free_places=True, add_best_unigrams=False, n_docs_complete_score=100)
+OPTIONS = Options(allow_overlaps=True, unigrams_ignore_free_places=True, add_best_unigrams=False)
 
 
 def query(sql: str | None = None, **own: str):
@@ -51,29 +53,33 @@ def asked(spark, sf_dir: str):
 
 
 class Scored:
-    """What most queries start from: keys of benchmark items, where they occur, and their scores."""
+    """What most queries start from: keys of benchmark items, where they occur, and their scores; each stored once."""
 
     def __init__(self, spark, sf_dir: str, options: Options = OPTIONS):
-        self.index = index(spark, sf_dir)
+        self.options = options
+        self.index = index(spark, sf_dir).stored()
         self.queries = asked(spark, sf_dir)
-        self.spans = keys.query_keys(self.queries)
-        self.counts = self.index.token_counts().persist()
+        self.spans = stored(keys.query_keys(self.queries), "spans")
+        self.counts = stored(self.index.token_counts(), "counts")
         self.total = F.lit(float(self.index.n_tokens()))
-        self.at = self.index.occurrences(match.as_keys(self.spans)).persist()
+        self.at = stored(self.index.occurrences(match.as_keys(self.spans)), "occurrences")
         self.found = self.at.groupBy("ngram").agg(F.count("*").alias("count"))
         self.scorer = keys.CountScorer()
         self.lp = self.scorer.keys(self.queries, self.spans, self.counts, self.total)
         self.keys = keys.score_keys(self.lp, self.found, self.total, options)
         self.unigrams = self.scorer.unigrams(self.queries, self.counts, self.total)
-        self.split = keys.split_by_frequency(self.keys.select("query", "ngram", "n", "count", "score"), options)
 
-    def first(self, options: Options = OPTIONS):
-        return evidence.candidates(self.split, self.at, options)
+    @cached_property
+    def split(self):
+        return stored(keys.split_by_frequency(self.keys.select("query", "ngram", "n", "count", "score"), self.options), "keys")
+
+    @cached_property
+    def first(self):
+        return stored(evidence.candidates(self.split, self.at, self.options), "candidates")
 
-    def full(self, options: Options = OPTIONS):
+    def full(self):
         none = self.split.limit(0).select("query", F.col("ngram").alias("token"), "score")
-        split = self.split.persist()
-        return evidence.full_scores(split, self.at, evidence.candidates(split, self.at, options), none, self.index.docs, options)
+        return evidence.full_scores(self.split, self.at, self.first, none, self.index.docs, self.options)
 
 
 # ---- corpus and index ----
@@ -251,14 +257,6 @@ def key_dedupe(spark, sf_dir):
     return keys.first_of_each(found, ["turn"])
 
 
-@query("SELECT query, ngram, 'span' AS source FROM sp UNION ALL SELECT query, title AS ngram, 'title' AS source FROM q, (SELECT DISTINCT title FROM c)")
-def key_union(spark, sf_dir):
-    titles = corpus(spark, sf_dir).select(F.col("title").alias("ngram")).distinct()
-    spans = keys.query_keys(asked(spark, sf_dir)).select("query", "ngram", F.lit("span").alias("source"))
-    every = asked(spark, sf_dir).select("query").join(F.broadcast(titles)).select("query", "ngram", F.lit("title").alias("source"))
-    return spans.unionByName(every)
-
-
 @query("SELECT query, ngram, n, lp FROM kl")
 def key_rescore(spark, sf_dir):
     return Scored(spark, sf_dir).lp
@@ -306,12 +304,12 @@ def best_unigrams(spark, sf_dir):
 @query("SELECT query, doc, round(first_score, 6) AS first_score FROM st1")
 def stage1_candidates(spark, sf_dir):
     everything = Options(allow_overlaps=True, n_docs_complete_score=1 << 30)
-    return Scored(spark, sf_dir).first(everything).withColumn("first_score", F.round("first_score", 6))
+    return Scored(spark, sf_dir, everything).first.withColumn("first_score", F.round("first_score", 6))
 
 
 @query("SELECT query, doc, round(first_score, 6) AS first_score FROM cand")
 def stage1_topn(spark, sf_dir):
-    return Scored(spark, sf_dir).first().withColumn("first_score", F.round("first_score", 6))
+    return Scored(spark, sf_dir).first.withColumn("first_score", F.round("first_score", 6))
 
 
 @query("SELECT query, doc, ngram, round(credit, 6) AS credit FROM cred1")
@@ -335,8 +333,7 @@ def fullscore_overlap(spark, sf_dir):
 )
 def unigram_topup(spark, sf_dir):
     s = Scored(spark, sf_dir)
-    split = s.split.persist()
-    first = evidence.candidates(split, s.at, OPTIONS)
+    split, first = s.split, s.first
     hits = s.at.join(split.where("n > 1"), "ngram").join(first.select("query", "doc"), ["query", "doc"], "left_semi")
     credits = evidence.discounted(hits.select("query", "doc", "ngram", "score").distinct(), OPTIONS)
     singles = keys.score_unigrams(s.unigrams, split.limit(0), s.total, OPTIONS)
@@ -344,31 +341,50 @@ def unigram_topup(spark, sf_dir):
     return extra.withColumn("extra", F.round("extra", 6))
 
 
-@query()
+#: Without overlaps: a document's occurrences in order, folded into the places and keys taken so far.
+FREE = {
+    "held1": "SELECT query, doc, list({'p': range(pos, pos + n), 'k': [ngram]} ORDER BY -score, ngram, pos) AS o FROM occ JOIN kf USING (ngram) WHERE kind = 'rare' GROUP BY query, doc",
+    "free1": "SELECT query, doc, list_reduce(o, lambda a, x: CASE WHEN list_has_any(a.p, x.p) THEN a ELSE {'p': list_concat(a.p, x.p), 'k': CASE WHEN list_contains(a.k, x.k[1]) THEN a.k ELSE list_concat(a.k, x.k) END} END).k AS k FROM held1",
+    "hit1": "SELECT query, doc, ngram, score FROM (SELECT query, doc, unnest(k) AS ngram FROM free1) JOIN kf USING (query, ngram)",
+}
+GREEDY = FREE | {
+    "held2": "SELECT query, doc, list({'p': range(pos, pos + n), 't': list_distinct(string_split(ngram, ' ')), 'k': [ngram], 's': score, 'total': score} ORDER BY -score, ngram, pos) AS o FROM occ JOIN kf USING (ngram) JOIN cand USING (query, doc) GROUP BY query, doc",
+    "totals": "SELECT query, doc, list_reduce(o, lambda a, x: CASE WHEN list_has_any(a.p, x.p) THEN a WHEN list_contains(a.k, x.k[1]) THEN {'p': list_concat(a.p, x.p), 't': a.t, 'k': a.k, 's': a.s, 'total': a.total} ELSE {'p': list_concat(a.p, x.p), 't': list_concat(a.t, x.t), 'k': list_concat(a.k, x.k), 's': a.s, 'total': a.total + x.s * (1 - 0.8::DOUBLE + 0.8::DOUBLE * len(list_filter(x.t, lambda t: NOT list_contains(a.t, t))) / len(x.t))} END).total AS total FROM held2",
+}
+
+
+@query("SELECT query, doc, round(first_score, 6) AS first_score FROM st1", **FREE)
+def stage1_free(spark, sf_dir):
+    options = Options(n_docs_complete_score=1 << 30)
+    return Scored(spark, sf_dir, options).first.withColumn("first_score", F.round("first_score", 6))
+
+
+@query("SELECT query, doc, round(total, 6) AS score, best_key FROM totals JOIN b USING (query, doc)", **(GREEDY | {"b": BEST.format("-score, ngram")}))
 def fullscore_greedy(spark, sf_dir):
-    options = Options(unigrams_ignore_free_places=True, add_best_unigrams=False, n_docs_complete_score=20)
-    return Scored(spark, sf_dir, options).full(options).select("query", "doc", F.round("score", 6).alias("score"), "best_key")
+    options = Options(unigrams_ignore_free_places=True, add_best_unigrams=False)
+    return Scored(spark, sf_dir, options).full().select("query", "doc", F.round("score", 6).alias("score"), "best_key")
 
 
 @query(
-    "SELECT query, doc, round(0.5::DOUBLE * total + 0.5::DOUBLE * best, 6) AS score FROM totals JOIN (SELECT query, doc, max(score) AS best FROM hit2 GROUP BY query, doc) USING (query, doc)",
-    cand="SELECT query, doc, first_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(first_score, 9) DESC, doc) AS r FROM (SELECT query, doc, 0.5::DOUBLE * sum(credit) + 0.5::DOUBLE * max(score) AS first_score FROM cred1 GROUP BY query, doc)) WHERE r <= 100",
+    "SELECT query, doc, round(total + best, 6) AS twice FROM totals JOIN (SELECT query, doc, max(score) AS best FROM hit2 GROUP BY query, doc) USING (query, doc)",
+    cand="SELECT query, doc, first_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(first_score, 9) DESC, doc) AS r FROM (SELECT query, doc, 0.5::DOUBLE * sum(credit) + 0.5::DOUBLE * max(score) AS first_score FROM cred1 GROUP BY query, doc)) WHERE r <= 1500",
 )
 def single_key(spark, sf_dir):
-    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, n_docs_complete_score=100, single_key=0.5)
-    return Scored(spark, sf_dir).full(options).select("query", "doc", F.round("score", 6).alias("score"))
+    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, single_key=0.5)
+    # twice the score: halves of six digits would often end on a 5 to be rounded
+    return Scored(spark, sf_dir, options).full().select("query", "doc", F.round(2 * F.col("score"), 6).alias("twice"))
 
 
 @query("SELECT query, doc, best_key FROM b", b=BEST.format("-n, -score, ngram"))
 def sort_by_length(spark, sf_dir):
-    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, n_docs_complete_score=100, sort_by_length=True)
-    return Scored(spark, sf_dir).full(options).select("query", "doc", "best_key")
+    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, sort_by_length=True)
+    return Scored(spark, sf_dir, options).full().select("query", "doc", "best_key")
 
 
 @query("SELECT query, doc, best_key FROM b", b=BEST.format("n_occ, -score, ngram"))
 def sort_by_freq(spark, sf_dir):
-    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, n_docs_complete_score=100, sort_by_freq=True)
-    return Scored(spark, sf_dir).full(options).select("query", "doc", "best_key")
+    options = Options(allow_overlaps=True, unigrams_ignore_free_places=True, sort_by_freq=True)
+    return Scored(spark, sf_dir, options).full().select("query", "doc", "best_key")
 
 
 TOP = "SELECT query, doc, total, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(total, 9) DESC, doc) AS rank FROM totals) WHERE rank <= 10"
@@ -386,8 +402,8 @@ def search_topk(spark, sf_dir):
 @query("SELECT query, doc, rank, ngram, n_occ AS count, round(credit, 6) AS credit FROM top JOIN cred2 USING (query, doc) JOIN cnt USING (ngram)", top=TOP)
 def search_with_keys(spark, sf_dir):
     s = Scored(spark, sf_dir)
-    best = evidence.top(s.full(), 10).select("query", "doc", "rank").persist()
-    hits = s.at.join(s.split, "ngram").join(s.first().select("query", "doc"), ["query", "doc"], "left_semi")
+    best = stored(evidence.top(s.full(), 10).select("query", "doc", "rank"), "best")
+    hits = s.at.join(s.split, "ngram").join(s.first.select("query", "doc"), ["query", "doc"], "left_semi")
     credits = evidence.discounted(hits.select("query", "doc", "ngram", "score").distinct(), OPTIONS)
     return credits.drop("rank").join(best, ["query", "doc"]).join(s.found, "ngram").select("query", "doc", "rank", "ngram", "count", F.round("credit", 6).alias("credit"))
 
@@ -395,66 +411,130 @@ def search_with_keys(spark, sf_dir):
 # ---- generation ----
 
 
-def decoded(spark, sf_dir, **options):
-    s_index, queries = index(spark, sf_dir), asked(spark, sf_dir)
-    counts = s_index.token_counts().persist()
-    return generate(queries, s_index, counts, F.lit(float(s_index.n_tokens())), BeamOptions(**({"length": 2, "beam": 5} | options)))
+def decoded(spark, sf_dir, rows=corpus, **options):
+    s_index, queries = CorpusIndex.build(rows(spark, sf_dir)).stored(), asked(spark, sf_dir)
+    counts = stored(s_index.token_counts(), "counts")
+    return generate(queries, s_index, counts, F.lit(float(s_index.n_tokens())), BeamOptions(**options))
 
 
 def shown(found):
     return found.select("query", "ngram", "step", "rank", F.round("lp", 6).alias("lp"))
 
 
-BEAM = {
-    "bg": "SELECT query, token, ln((coalesce(tf, 0) + 10.0::DOUBLE * cf / tot.tokens) / (len + 10.0::DOUBLE)) AS lp FROM (SELECT query, len(toks) AS len FROM q) CROSS JOIN voc LEFT JOIN (SELECT query, token, count(*) AS tf FROM (SELECT query, unnest(toks) AS token FROM q) GROUP BY ALL) USING (query, token), tot",
-    "s1": "SELECT * FROM (SELECT query, token AS ngram, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, token) AS rank FROM bg WHERE token <> '</s>') WHERE rank <= 10",
-    "f2": "SELECT a AS ngram, string_split(ngram, ' ')[2] AS next, count(*) AS c FROM (SELECT ngram, string_split(ngram, ' ')[1] AS a FROM ng2) GROUP BY ALL",
-    "s2": "SELECT * FROM (SELECT query, s1.ngram || ' ' || next AS ngram, s1.lp + bg.lp AS lp, row_number() OVER (PARTITION BY query ORDER BY round(s1.lp + bg.lp, 9) DESC, s1.ngram, next) AS rank FROM s1 JOIN f2 USING (ngram) JOIN bg USING (query) WHERE s1.rank <= 5 AND bg.token = next) WHERE rank <= 10",
-}
-STEPS = "SELECT query, ngram, 1 AS step, rank, round(lp, 6) AS lp FROM s1 UNION ALL SELECT query, ngram, 2 AS step, rank, round(lp, 6) AS lp FROM s2"
-
-
-@query("SELECT query, ngram, 1 AS step, rank, round(lp, 6) AS lp FROM s1", **BEAM)
+BACKGROUND = "SELECT query, token, ln((coalesce(tf, 0) + 10.0::DOUBLE * cf / tot.tokens) / (len + 10.0::DOUBLE)) AS lp FROM (SELECT query, len(toks) AS len FROM q) CROSS JOIN voc LEFT JOIN (SELECT query, token, count(*) AS tf FROM (SELECT query, unnest(toks) AS token FROM q) GROUP BY ALL) USING (query, token), tot"
+
+
+def _beam(length: int = 10, beam: int = 15, first: str | None = None, end: str = "</s>", least: int = 0, topk: int = 0) -> dict[str, str]:
+    """The steps of a beam search as fragments s1, s2, ...: the best 2 x beam of each query, of which beam that have not ended go on.
+
+    first: the token that keys start with; the end token stands before every document. least: occurrences
+    that a key must have more than to go on. topk: tokens that may follow a key, made sure to sum to 1.
+    """
+    out = {"bg": BACKGROUND, "dd": "SELECT list_prepend('</s>', toks) AS toks FROM d" if first == "</s>" else "SELECT toks FROM d"}
+    if first is None:
+        out["n1"] = "SELECT query, token AS next, '' AS key, 0.0::DOUBLE AS lp0, lp FROM bg WHERE token <> '</s>'"
+    begin = 1 if first is None else 0
+    for k in range(1, length + 1):
+        words = k if first is not None else k - 1
+        if k > begin:
+            before = f"SELECT query, ngram AS key, lp AS lp0 FROM a{k - 1}" if k > 1 else f"SELECT query, '{first}' AS key, 0.0::DOUBLE AS lp0 FROM q"
+            out[f"b{k}"] = before
+            out[f"f{k}"] = (
+                f"SELECT key, next, sum(count(*)) OVER (PARTITION BY key) AS c FROM (SELECT array_to_string(toks[i:i + {words} - 1], ' ') AS key, toks[i + {words}] AS next "
+                f"FROM (SELECT toks, unnest(range(1, len(toks) - {words} + 1)) AS i FROM dd)) WHERE key IN (SELECT key FROM b{k}) GROUP BY key, next"
+            )
+            out[f"n{k}"] = f"SELECT query, next, key, lp0, lp FROM b{k} JOIN f{k} USING (key) JOIN bg USING (query) WHERE bg.token = next AND c > {least}"
+        source = f"n{k}"
+        if topk:
+            out[f"t{k}"] = f"SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY round(lp, 9) DESC, next) AS r FROM n{k}"
+            out[f"u{k}"] = f"SELECT query, next, key, lp0, lp - ln(sum(exp(lp)) OVER (PARTITION BY query, key)) AS lp FROM t{k} WHERE r <= {topk}"
+            source = f"u{k}"
+        out[f"s{k}"] = (
+            f"SELECT * FROM (SELECT query, ltrim(key || ' ' || next) AS ngram, next, lp0 + lp AS lp, row_number() OVER (PARTITION BY query ORDER BY round(lp0 + lp, 9) DESC, key, next) AS rank FROM {source}) WHERE rank <= {2 * beam}"
+        )
+        out[f"a{k}"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS a FROM s{k} WHERE next NOT IN ('</s>', '{end}')) WHERE a <= {beam}"
+    return out
+
+
+def _steps(length: int) -> str:
+    return " UNION ALL ".join(f"SELECT query, ngram, {k} AS step, rank, round(lp, 6) AS lp FROM s{k}" for k in range(1, length + 1))
+
+
+@query(_steps(1), **_beam(1))
 def beam_step1(spark, sf_dir):
     return shown(decoded(spark, sf_dir, length=1))
 
 
-@query(STEPS, **BEAM)
+@query(_steps(10), **_beam())
 def beam_search_k(spark, sf_dir):
     return shown(decoded(spark, sf_dir))
 
 
-@query(STEPS, **(BEAM | {"f2": f"SELECT ngram, next, c FROM (SELECT *, sum(c) OVER (PARTITION BY ngram) AS total FROM ({BEAM['f2']})) WHERE total > 200"}))
+@query(_steps(10), **_beam(least=200))
 def beam_stop_at_count(spark, sf_dir):
     return shown(decoded(spark, sf_dir, stop_at_count=200))
 
 
-@query(
-    "SELECT query, '</s> ' || token AS ngram, 1 AS step, rank, round(lp, 6) AS lp FROM (SELECT query, token, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, token) AS rank FROM bg WHERE token IN (SELECT toks[1] FROM d)) WHERE rank <= 10",
-    **BEAM,
-)
+@query(_steps(3), **_beam(3, first="</s>"))
 def beam_forced_prefix(spark, sf_dir):
-    return shown(decoded(spark, sf_dir, length=1, forced_prefix=EOS))
+    return shown(decoded(spark, sf_dir, length=3, forced_prefix=EOS))
 
 
-@query(
-    STEPS,
-    **(
-        BEAM
-        | {
-            "s1": "SELECT query, ngram, lp - ln(sum(exp(lp)) OVER (PARTITION BY query)) AS lp, rank FROM (SELECT query, token AS ngram, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, token) AS rank FROM bg WHERE token <> '</s>') WHERE rank <= 8",
-            "k2": "SELECT query, ngram, next, bg.lp, s1.lp AS lp1, row_number() OVER (PARTITION BY query, ngram ORDER BY round(bg.lp, 9) DESC, next) AS r FROM s1 JOIN f2 USING (ngram) JOIN bg USING (query) WHERE s1.rank <= 5 AND bg.token = next",
-            "s2": "SELECT * FROM (SELECT query, ngram || ' ' || next AS ngram, lp, row_number() OVER (PARTITION BY query ORDER BY round(lp, 9) DESC, ngram, next) AS rank FROM (SELECT query, ngram, next, lp1 + lp - ln(sum(exp(lp)) OVER (PARTITION BY query, ngram)) AS lp FROM k2 WHERE r <= 8)) WHERE rank <= 10",
-        }
-    ),
-)
+@query(_steps(10), **_beam(topk=8))
 def beam_topk(spark, sf_dir):
     return shown(decoded(spark, sf_dir, topk=8))
 
 
+def titled(spark, sf_dir: str):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+    return build_corpus(rows, lowercase=True)
+
+
+def coded(spark, sf_dir: str):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.concat("text", F.lit(" || c"), F.col("doc_id") % 50, F.lit(" ||")).alias("text"))
+    return build_corpus(rows, lowercase=True)
+
+
+TITLED = r"SELECT doc, list_append(list_filter(string_split(trim(regexp_replace(lower(title || ' @@ ' || text), '\s+', ' ', 'g')), ' '), lambda x: x <> ''), '</s>') AS toks FROM c WHERE length(text) > 0"
+CODED = TITLED.replace("FROM c WHERE", "FROM (SELECT doc, title, trim(replace(replace(regexp_replace(text || ' || c' || doc % 50 || ' ||', '\\s+', ' ', 'g'), 'BULLET::::', ''), 'SECTION::::', '')) AS text FROM (SELECT doc_id AS doc, source AS title, text FROM documents)) WHERE")
+TITLE_STEPS = _beam(15, first="</s>", end="@@") | {"d": TITLED}
+CODE_STEPS = _beam(15, first="||", end="||") | {"d": CODED}
+
+
+def _complete(end: str) -> str:
+    return " UNION ALL ".join(f"SELECT query, ngram, round(lp, 6) AS lp FROM s{k} WHERE next = '{end}'" for k in range(1, 16))
+
+
+def titles_found(spark, sf_dir):
+    made = decoded(spark, sf_dir, titled, length=15, forced_prefix=EOS, end="@@")
+    return generation.title_keys(made, EOS, "@@").select("query", "ngram", F.round("lp", 6).alias("lp"))
+
+
+@query(_complete("@@"), **TITLE_STEPS)
+def search_titles(spark, sf_dir):
+    return titles_found(spark, sf_dir)
+
+
+@query(_complete("||"), **CODE_STEPS)
+def search_codes(spark, sf_dir):
+    made = decoded(spark, sf_dir, coded, length=15, forced_prefix="||", end="||")
+    return generation.code_keys(made, "||", "||").select("query", "ngram", F.round("lp", 6).alias("lp"))
+
+
+@query(f"SELECT query, ngram, 'span' AS source FROM sp UNION ALL SELECT query, ngram, 'title' AS source FROM ({_complete('@@')})", **TITLE_STEPS)
+def key_union(spark, sf_dir):
+    spans = keys.query_keys(asked(spark, sf_dir)).select("query", "ngram", F.lit("span").alias("source"))
+    return spans.unionByName(titles_found(spark, sf_dir).select("query", "ngram", F.lit("title").alias("source")))
+
+
+@query("SELECT query, ' ' || trim(text) || ' || title || +' AS prompt FROM (SELECT item_id AS query, text FROM benchmark)")
+def query_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), prompt("text", "title").alias("prompt"))
+
+
 @query()
 def beam_diverse(spark, sf_dir):
-    return shown(decoded(spark, sf_dir, beam=6, groups=3, diversity=0.5))
+    return shown(decoded(spark, sf_dir, groups=3, diversity=0.5))
 
 
 @query()
@@ -485,14 +565,25 @@ def writer_msmarco(spark, sf_dir):
     return writers.msmarco_lines(hits(spark, sf_dir))
 
 
-@query()
+CONTEXT = "FROM top JOIN (SELECT doc, title, text FROM c) USING (doc)"
+RANKED = "SELECT query, list({0} ORDER BY rank) AS found " + CONTEXT + " GROUP BY query"
+TOPIC = "(SELECT item_id AS query, text AS input FROM benchmark) LEFT JOIN r USING (query)"
+
+
+@query(
+    f"SELECT query, md5(to_json({{'id': CAST(query AS VARCHAR), 'input': input, 'output': [{{'provenance': coalesce(found, [])}}]}})) AS line_md5 FROM {TOPIC}",
+    top=TOP, r=RANKED.format("{'wikipedia_id': doc, 'start_paragraph_id': 1, 'end_paragraph_id': 1, 'text': title || ' @@ ' || text, 'score': round(total, 6)}"),
+)
 def writer_kilt(spark, sf_dir):
-    return writers.kilt_lines(hits(spark, sf_dir), topics(spark, sf_dir))
+    return writers.kilt_lines(hits(spark, sf_dir), topics(spark, sf_dir)).select("query", F.md5("line").alias("line_md5"))
 
 
-@query()
+@query(
+    f"SELECT query, md5(to_json({{'question': input, 'ctxs': coalesce(found, [])}})) AS line_md5 FROM {TOPIC}",
+    top=TOP, r=RANKED.format("{'title': trim(title), 'text': trim(text), 'score': round(total, 6), 'passage_id': doc || '-1'}"),
+)
 def writer_dpr(spark, sf_dir):
-    return writers.dpr_lines(hits(spark, sf_dir), topics(spark, sf_dir))
+    return writers.dpr_lines(hits(spark, sf_dir), topics(spark, sf_dir)).select("query", F.md5("line").alias("line_md5"))
 
 
 @query(
@@ -510,11 +601,11 @@ def max_passage(spark, sf_dir):
 def contexts(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), "quality", "toxic")
     rows = corpus(spark, sf_dir).join(labels, "doc")
-    rank = F.row_number().over(W.partitionBy("title").orderBy("doc"))
+    rank = F.col("doc") % 7 + 1
     return rows.select("doc", "title", "text", F.array_join(F.slice("toks", 1, 6), " ").alias("question"), (F.col("quality") * 999).alias("score"), (F.col("toxic") * 999).alias("title_score"), rank.alias("rank"))
 
 
-CTX = "SELECT doc, title, text[:80] AS text, array_to_string(list_filter(toks, lambda x: x <> '</s>')[1:6], ' ') AS question, quality * 999 AS score, toxic * 999 AS title_score, row_number() OVER (PARTITION BY title ORDER BY doc) AS rank FROM d JOIN (SELECT doc_id AS doc, quality, toxic FROM labels) USING (doc)"
+CTX = "SELECT doc, title, text, array_to_string(list_filter(toks, lambda x: x <> '</s>')[1:6], ' ') AS question, quality * 999 AS score, toxic * 999 AS title_score, doc % 7 + 1 AS rank FROM d JOIN (SELECT doc_id AS doc, quality, toxic FROM labels) USING (doc)"
 WITHIN = "SELECT * FROM ctx WHERE rank <= 5 AND (score >= 999 OR title_score >= 999)"
 
 
@@ -566,37 +657,33 @@ def train_span_weights(spark, sf_dir):
 
 @query()
 def train_span_sample(spark, sf_dir):
-    return training.sample_spans(training.span_weights(question_pairs(spark, sf_dir)), 3, "spans")
-
-
-def _draw(*parts: str) -> str:
-    text = " || '|' || ".join(parts)
-    return f"(CAST(('0x' || md5({text})[1:8]) AS BIGINT) / 4294967296.0::DOUBLE)"
-
-
-GOOD = "(lower({0}) NOT IN ({1}) AND NOT regexp_matches({0}, '[?.!]$') AND NOT regexp_matches({0}, '^[(\\[]'))"
+    pairs = stored(question_pairs(spark, sf_dir), "pairs")
+    return training.sample_spans(stored(training.span_weights(pairs), "weights"), pairs, 3, "spans")
 
 
 def _pairs_sql() -> str:
-    from loresift.functions.text import STOPWORDS
-
-    words = ", ".join(f"'{w}'" for w in STOPWORDS)
-    start = "CAST(floor(" + _draw("'seed'", "'{0}'", "CAST(doc AS VARCHAR)", "CAST(draw AS VARCHAR)") + " * room) AS BIGINT)"
-    placed = f"SELECT *, {start.format('s')} AS s, {start.format('t')} AS t FROM (SELECT doc, toks, len(toks) - 9 AS room, unnest(range(1, 14)) AS draw FROM b WHERE len(toks) >= 10)"
-    return (
-        f"SELECT doc, nth, CASE WHEN {_draw(chr(39) + 'seed' + chr(39), chr(39) + 'case' + chr(39), 'CAST(doc AS VARCHAR)', 'CAST(draw AS VARCHAR)')} < 0.1 THEN lower(source) ELSE source END AS source, target FROM ("
-        f"SELECT doc, draw, row_number() OVER (PARTITION BY doc ORDER BY draw) AS nth, array_to_string(toks[s + 1:s + 10], ' ') AS source, array_to_string(toks[t + 1:t + 10], ' ') AS target "
-        f"FROM ({placed}) WHERE {GOOD.format('toks[s + 1]', words)} AND {GOOD.format('toks[t + 1]', words)}) WHERE nth <= 3"
-    )
-
-
-@query(_pairs_sql(), b=r"SELECT doc, list_filter(string_split(text, ' '), lambda x: x <> '') AS toks FROM c WHERE length(text) > 0")
+    # on its own words, not the engine's list: what the engine calls good is what this says
+    words = "a an and are as at be been but by for from had has have he her his i if in into is it its of on or our she so such than that the their them then there these they this to was we were which who will with you your"
+    u = "(CAST(('0x' || md5('seed|' || {0} || '|' || kind || '|' || doc || '|' || draw)[1:8]) AS BIGINT) / 4294967296.0::DOUBLE)"
+    good = f"(list_contains(string_split('{words}', ' '), lower(toks[t + 1])) = false AND NOT regexp_matches(toks[t + 1], '[?.!]$|^[(\\[]'))"
+    room = "(greatest(0, len(toks) - 10) + 1)"
+    start = f"CAST(floor({u} * {room}) AS BIGINT)"
+    kinds = "(SELECT doc, title, toks, 'body' AS kind, 3 AS want FROM b UNION ALL SELECT doc, title, toks, 'title' AS kind, 2 AS want FROM b)"
+    placed = f"SELECT *, {start.format(repr('s'))} AS s, {start.format(repr('t'))} AS t, {u.format(repr('coin'))} >= 0.5 AS to_title FROM (SELECT *, unnest(range(1, want + 10)) AS draw FROM {kinds})"
+    tried = f"SELECT *, CASE WHEN kind = 'title' AND to_title THEN true WHEN kind = 'title' THEN {good} ELSE {good} AND s <> t END AS ok FROM ({placed})"
+    counted = f"SELECT *, CAST(sum(CAST(ok AS INT)) OVER (PARTITION BY doc, kind ORDER BY draw) AS INT) AS nth FROM ({tried})"
+    source = "CASE WHEN kind = 'title' AND NOT to_title THEN trim(title) ELSE array_to_string(toks[s + 1:s + 10], ' ') END || CASE WHEN kind = 'title' AND to_title THEN ' || title' ELSE ' || body' END"
+    target = "CASE WHEN kind = 'title' AND to_title THEN trim(title) || ' @@' ELSE array_to_string(toks[t + 1:t + 10], ' ') END"
+    return f"SELECT doc, kind, nth, CASE WHEN {u.format(repr('case'))} < 0.1 THEN lower({source}) ELSE {source} END AS source, {target} AS target FROM ({counted}) WHERE ok AND nth <= want AND draw - nth < 10"
+
+
+@query(_pairs_sql(), b=r"SELECT doc, title, list_filter(string_split(text, ' '), lambda x: x <> '') AS toks FROM c WHERE length(text) > 0 AND text <> title")
 def unsup_pairs(spark, sf_dir):
-    docs = corpus(spark, sf_dir).select("doc", tokens("text", lowercase=False).alias("toks"))
-    return training.random_pairs(docs, 3, "seed")
+    docs = corpus(spark, sf_dir).select("doc", "title", "text", tokens("text", lowercase=False).alias("toks"))
+    return training.random_pairs(docs, 3, "seed", titles=2)
 
 
-@query("SELECT doc, copy, md5(text) AS source_md5, ' ' || title || ' @@' AS target FROM c, (VALUES (1), (2)) AS k(copy) WHERE length(text) > 0 AND text <> title")
+@query("SELECT doc, copy, md5(text || ' || title') AS source_md5, title || ' @@' AS target FROM c, (VALUES (1), (2)) AS k(copy) WHERE length(text) > 0 AND text <> title")
 def unsup_full_doc(spark, sf_dir):
     found_pairs = training.full_document_pairs(corpus(spark, sf_dir), 2)
     return found_pairs.select("doc", "copy", F.md5("source").alias("source_md5"), "target")

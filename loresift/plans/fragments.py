@@ -41,7 +41,7 @@ FRAGMENTS = {
     "type1": "SELECT *, min(rank) OVER (PARTITION BY query, doc, type) AS first FROM (SELECT query, doc, ngram, score, rank, unnest(list_distinct(string_split(ngram, ' '))) AS type FROM hit1 JOIN rank1 USING (query, ngram))",
     "cred1": "SELECT query, doc, ngram, score, (0.2::DOUBLE + 0.8::DOUBLE * (sum(CASE WHEN rank = first THEN 1 ELSE 0 END) / count(*))) * score AS credit FROM type1 GROUP BY query, doc, ngram, score, rank",
     "st1": "SELECT query, doc, sum(credit) AS first_score FROM cred1 GROUP BY query, doc",
-    "cand": "SELECT query, doc, first_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(first_score, 9) DESC, doc) AS r FROM st1) WHERE r <= 100",
+    "cand": "SELECT query, doc, first_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(first_score, 9) DESC, doc) AS r FROM st1) WHERE r <= 1500",
     "hit2": "SELECT DISTINCT query, doc, ngram, n, n_occ, score FROM occ JOIN kf USING (ngram) JOIN cand USING (query, doc)",
     "rank2": "SELECT query, ngram, dense_rank() OVER (PARTITION BY query ORDER BY score DESC, ngram) AS rank FROM (SELECT DISTINCT query, ngram, score FROM hit2)",
     "type2": "SELECT *, min(rank) OVER (PARTITION BY query, doc, type) AS first FROM (SELECT query, doc, ngram, score, rank, unnest(list_distinct(string_split(ngram, ' '))) AS type FROM hit2 JOIN rank2 USING (query, ngram))",

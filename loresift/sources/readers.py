@@ -26,7 +26,7 @@ def corpus_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def passages_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(id, title, text) from a quoted table with a header: id, text, title."""
-    rows = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', mode="DROPMALFORMED", schema="id string, text string, title string")
+    rows = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, mode="DROPMALFORMED", schema="id string, text string, title string")
     return rows.where("id is not null and text is not null and title is not null").select("id", "title", "text")
 
 

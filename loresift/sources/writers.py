@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loresift.functions.ordinals import with_ordinal
+from loresift.functions.storage import stored
 from loresift.functions.text import passage_parts
 
 
@@ -45,9 +47,9 @@ def kilt_lines(hits: DataFrame, topics: DataFrame) -> DataFrame:
     """
     parts = passage_parts(F.col("docid").cast("string"))
     fields = [
-        parts["page"].alias("wikipedia_id"),
-        parts["start"].alias("start_paragraph_id"),
-        parts["end"].alias("end_paragraph_id"),
+        parts["page"].try_cast("long").alias("wikipedia_id"),
+        F.coalesce(parts["start"], F.lit(0)).alias("start_paragraph_id"),
+        F.coalesce(parts["end"], F.lit(0)).alias("end_paragraph_id"),
         F.concat_ws(" @@ ", "title", "text").alias("text"),
         F.round("score", 6).alias("score"),
     ]
@@ -61,12 +63,21 @@ def kilt_lines(hits: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def dpr_lines(hits: DataFrame, topics: DataFrame) -> DataFrame:
-    """One JSON object a topic: its question and the contexts found, in rank order; topics without hits have none."""
-    record = F.struct("title", "text", F.round("score", 6).alias("score"), F.col("docid").cast("string").alias("passage_id"))
-    grouped = hits.groupBy("query").agg(_ranked(record).alias("ctxs"))
+    """One JSON object a topic: the topic's whole record and the contexts found, in rank order; topics without hits have none.
+
+    topics: (query, ...): every other column is a field of the record; ``input`` is its question,
+    and fields that a column ``record`` holds as JSON text come first.
+    """
+    context = F.struct(F.trim("title").alias("title"), F.trim("text").alias("text"), F.round("score", 6).alias("score"), F.col("docid").cast("string").alias("passage_id"))
+    grouped = hits.groupBy("query").agg(_ranked(context).alias("ctxs"))
     found = topics.join(grouped, "query", "left")
     empty = F.array().cast(grouped.schema["ctxs"].dataType)
-    return found.select("query", F.to_json(F.struct(F.col("input").alias("question"), F.coalesce("ctxs", empty).alias("ctxs"))).alias("line"))
+    ctxs = F.coalesce("ctxs", empty).alias("ctxs")
+    if "record" in topics.columns:
+        whole = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit(", "), F.substr(F.to_json(F.struct(ctxs)), F.lit(2)))
+        return found.select("query", whole.alias("line"))
+    fields = [F.col(c).alias("question" if c == "input" else c) for c in topics.columns if c != "query"]
+    return found.select("query", F.to_json(F.struct(*fields, ctxs)).alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -75,10 +86,32 @@ def write_lines(lines: DataFrame, path: str) -> None:
     (lines.orderBy(*order) if order else lines).select("line").write.mode("overwrite").text(path)
 
 
-def write_pairs(pairs: DataFrame, path: str, append: bool = False) -> None:
-    """Sources and targets side by side, with the leading space that word-piece tokenizers want."""
+def write_array(lines: DataFrame, path: str) -> None:
+    """JSON objects (query, line) as one JSON array over the part files: brackets at the first and the last, commas between."""
+    ends = lines.agg(F.min("query").alias("_first"), F.max("query").alias("_last"))
+    rows = lines.join(F.broadcast(ends))
+    before = F.when(F.col("query") == F.col("_first"), F.lit("[")).otherwise(F.lit(", "))
+    after = F.when(F.col("query") == F.col("_last"), F.lit("]")).otherwise(F.lit(""))
+    write_lines(rows.select("query", F.concat(before, "line", after).alias("line")), path)
+
+
+def write_pairs(pairs: DataFrame, path: str, append: bool = False, text: bool = False) -> None:
+    """Sources and targets with the leading space that word-piece tokenizers want: one table, or line by line in path.source and path.target."""
     spaced = pairs.select(*[F.concat(F.lit(" "), F.trim(c)).alias(c) for c in ("source", "target")])
-    spaced.write.mode("append" if append else "overwrite").parquet(path)
+    mode = "append" if append else "overwrite"
+    if not text:
+        spaced.write.mode(mode).parquet(path)
+        return
+    # numbered once: both files have the same order
+    numbered = stored(with_ordinal(stored(spaced.withColumn("_at", F.monotonically_increasing_id()), "pairs"), "_at", "line"), "lines")
+    for side in ("source", "target"):
+        numbered.orderBy("line").select(side).write.mode(mode).text(f"{path}.{side}")
+
+
+def write_binarised(lines: DataFrame, path: str) -> None:
+    """Token ids (split, source, target: space-joined ids) as a table of integer arrays, partitioned by split and side."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.split(s, " ").cast("array<int>").alias("ids")) for s in ("source", "target")])
+    lines.select("split", F.inline(sides)).write.mode("overwrite").partitionBy("split", "side").parquet(path)
 
 
 def trec(hits: DataFrame, topics: DataFrame, path: str, tag: str = "loresift") -> None:
@@ -94,7 +127,7 @@ def kilt(hits: DataFrame, topics: DataFrame, path: str, tag: str = "loresift") -
 
 
 def dpr(hits: DataFrame, topics: DataFrame, path: str, tag: str = "loresift") -> None:
-    write_lines(dpr_lines(hits, topics), path)
+    write_array(dpr_lines(hits, topics), path)
 
 
 WRITERS = {"trec": trec, "msmarco": msmarco, "kilt": kilt, "dpr": dpr}

@@ -59,7 +59,13 @@ def test_document_at_and_extract(spark, sample):
 
 def test_save_and_load(spark, sample, tmp_path):
     sample.save(str(tmp_path / "index"))
-    assert CorpusIndex.load(spark, str(tmp_path / "index")).n_tokens() == 29
+    saved = CorpusIndex.load(spark, str(tmp_path / "index"))
+    assert saved.n_tokens() == 29
+    asked = keys(spark, "This is", "This is a", "sample document </s>", "@@", "fantasy", "is This")
+    rows = lambda index: sorted(map(tuple, index.occurrences(asked).collect()))
+    assert rows(saved) == rows(sample) and len(rows(saved)) == 8
+    assert sorted(map(tuple, saved.vocabulary().collect())) == sorted(map(tuple, sample.vocabulary().collect()))
+    assert sorted(map(tuple, saved.token_counts().collect())) == sorted(map(tuple, sample.token_counts().collect()))
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
