@@ -44,6 +44,39 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "ccby4-long",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4-long",
     "all rights reserved": "reserved",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-short",
+    "licensed under the gnu affero general public license version 3": "agpl3-short",
+    "licensed under the bsd 3 clause license": "bsd3-short",
+    "licensed under the bsd 2 clause license": "bsd2-short",
+    "licensed under the isc license": "isc-short",
+    "licensed under the mozilla public license version 2 0": "mpl2-short",
+    "licensed under a creative commons attribution 4 0 international license": "ccby4-long",
+    "licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4-long",
+    "licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4-long",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "terms and conditions for use reproduction and distribution": "apache2-terms",
+    "grant of copyright license": "apache2-copyright",
+    "grant of patent license": "apache2-patent",
+    "spdx license identifier": "spdx",
+    "apache 2 0": "id-apache2",
+    "mit": "id-mit",
+    "bsd 2 clause": "id-bsd2",
+    "bsd 3 clause": "id-bsd3",
+    "isc": "id-isc",
+    "gpl 2 0 only": "id-gpl2",
+    "gpl 2 0 or later": "id-gpl2",
+    "gpl 3 0 only": "id-gpl3",
+    "gpl 3 0 or later": "id-gpl3",
+    "lgpl 3 0 only": "id-lgpl3",
+    "lgpl 3 0 or later": "id-lgpl3",
+    "agpl 3 0 only": "id-agpl3",
+    "agpl 3 0 or later": "id-agpl3",
+    "mpl 2 0": "id-mpl2",
+    "cc0 1 0": "id-cc0",
+    "cc by 4 0": "id-ccby4",
+    "unlicense": "id-unlicense",
 }
 
 # A licence holds where one of its rules' identifiers occur in this order, others between them or not.
@@ -67,16 +100,44 @@ RULES = [
     ("CC-BY-4.0", ["ccby4-long"]),
     ("CC-BY-SA-4.0", ["ccbysa4-short"]),
     ("all-rights-reserved", ["reserved"]),
+    ("Apache-2.0", ["apache2-terms", "apache2-copyright", "apache2-patent"]),
+    ("BSD-2-Clause", ["bsd2-short"]),
+    ("BSD-3-Clause", ["bsd3-short"]),
+    ("ISC", ["isc-short"]),
+    ("LGPL-3.0", ["lgpl3-short"]),
+    ("LGPL-3.0", ["lgpl3-grant", "gpl-warranty"]),
+    ("AGPL-3.0", ["agpl3-short"]),
+    ("AGPL-3.0", ["agpl3-grant", "gpl-warranty"]),
+    ("MPL-2.0", ["mpl2-short"]),
+    ("CC-BY-SA-4.0", ["ccbysa4-long"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("Apache-2.0", ["spdx", "id-apache2"]),
+    ("MIT", ["spdx", "id-mit"]),
+    ("BSD-2-Clause", ["spdx", "id-bsd2"]),
+    ("BSD-3-Clause", ["spdx", "id-bsd3"]),
+    ("ISC", ["spdx", "id-isc"]),
+    ("GPL-2.0", ["spdx", "id-gpl2"]),
+    ("GPL-3.0", ["spdx", "id-gpl3"]),
+    ("LGPL-3.0", ["spdx", "id-lgpl3"]),
+    ("AGPL-3.0", ["spdx", "id-agpl3"]),
+    ("MPL-2.0", ["spdx", "id-mpl2"]),
+    ("CC0-1.0", ["spdx", "id-cc0"]),
+    ("CC-BY-4.0", ["spdx", "id-ccby4"]),
+    ("Unlicense", ["spdx", "id-unlicense"]),
 ]
 
 SENTENCE_END = r"[.!?;:]+(?:\s+|\z)"
 LINE_END = r"\s*\n\s*"
 NOISE = r"[^\p{L}\p{N}\n]+"
+#: What stands before a grant inside a longer sentence.
+SUBJECT = r"^.* (licensed|released) under "
 
 
 def _sentences(text: Column, end: str) -> Column:
     cut = F.regexp_replace(F.regexp_replace(text, end, "\n"), NOISE, " ")
-    return F.transform(F.split(cut, "\n"), lambda s: F.trim(s))
+    return F.transform(
+        F.split(cut, "\n"), lambda s: F.when(F.contains(s, F.lit("ed under ")), F.regexp_replace(F.trim(s), SUBJECT, "$1 under ")).otherwise(F.trim(s))
+    )
 
 
 def _known(sentences: Column) -> Column:
@@ -93,6 +154,7 @@ def licences(text: str | Column) -> Column:
 
     Sentences end at . ! ? ; : before white space, and also at line ends; a second reading lets
     sentences run over line ends, for licences wrapped into lines, and is used where a rule needs it.
+    A sentence that goes on about who or what is licensed or released counts from that word on.
     Null and empty texts have neither identifiers nor licences: two empty strings.
     """
     lowered = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
@@ -105,6 +167,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids, licences, n_licences.
 
     ``sentence_ids`` is the longer of the two readings' identifiers, the line-wise one on a tie.
+    Very long texts are read whole, repeated rows get equal answers, an empty table gives no rows,
+    and other columns of docs, of any name, are not read.
     """
     found = docs.select("doc_id", licences("text").alias("_f"))
     line, run = F.concat(F.lit(" "), "_f.by_line", F.lit(" ")), F.concat(F.lit(" "), "_f.run_on", F.lit(" "))
@@ -137,7 +201,7 @@ def _sql_list(values) -> str:
 
 def _sql_reading(text: str) -> str:
     cut = rf"regexp_replace(regexp_replace({text}, '{SENTENCE_END}', chr(10), 'g'), '{NOISE}', ' ', 'g')"
-    known = f"list_transform(string_split({cut}, chr(10)), lambda s: map_extract_value(ids, trim(s)))"
+    known = f"list_transform(string_split({cut}, chr(10)), lambda s: map_extract_value(ids, regexp_replace(trim(s), '{SUBJECT}', '\\1 under ')))"
     return f"array_to_string(list_filter({known}, lambda x: x IS NOT NULL), ' ')"
 
 

@@ -162,7 +162,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Empty and null texts are scored by the statistics of the empty text. Labels that are null or
-    neither 0 nor 1 teach nothing; a document labelled twice teaches twice.
+    neither 0 nor 1 teach nothing; a document labelled twice teaches twice. Very long texts count
+    whole, repeated rows get equal scores, an empty table gives no rows, and other columns of docs,
+    of any name, are not read.
     """
     rows = materialize(docs.select("doc_id", with_statistics("text").alias("stats")), "stats")
     model = learn(rows, labels)

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loresift.llm.pieces import LETTERS, MARKS, Pieces
 
@@ -75,36 +74,49 @@ def counter(path: str) -> SpanCounter:
     return _counters[path]
 
 
-def prefix_table(text: str | Column, path: str, tables: bool = True) -> Column:
-    """Struct of n_tokens and, if asked for, the table: ends (code points) and counts at them."""
-    long_list = T.ArrayType(T.LongType())
-    fields = [T.StructField("n_tokens", T.LongType())]
-    if tables:
-        fields += [T.StructField("ends", long_list), T.StructField("counts", long_list)]
+def prefix_table(text: str | Column, path: str) -> Column:
+    """The table of a text: array of (end in code points, tokens up to it)."""
 
     def count(texts: pa.Array) -> pa.Array:
         c = counter(path)
-        if not tables:
-            sums = [c.counts(c.cut(t or "")) for t in texts.to_pylist()]
-            return pa.StructArray.from_arrays([pa.array([int(x[-1]) if len(x) else 0 for x in sums], pa.int64())], ["n_tokens"])
         got = [c.table(t or "") for t in texts.to_pylist()]
-        totals = pa.array([int(x[-1]) if len(x) else 0 for _, x in got], pa.int64())
-        lists = [pa.array([x[i] for x in got], pa.list_(pa.int64())) for i in (0, 1)]
-        return pa.StructArray.from_arrays([totals, *lists], ["n_tokens", "ends", "counts"])
+        offsets = pa.array(np.cumsum([0, *(len(ends) for ends, _ in got)]), pa.int32())
+        ends, counts = (pa.array(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in got)])) for i in (0, 1))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([ends, counts], ["end", "tokens"]))
 
-    return F.arrow_udf(count, T.StructType(fields))(F.col(text) if isinstance(text, str) else text)
+    return F.arrow_udf(count, "array<struct<end:bigint,tokens:bigint>>")(F.col(text) if isinstance(text, str) else text)
+
+
+def budgeted(text: str | Column, path: str, budget: int) -> Column:
+    """Struct of a text's tokens, and of the code points and tokens of its longest run of whole spans within a budget: looked up in its table."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        c, out = counter(path), np.zeros((3, len(texts)), np.int64)
+        for row, text_ in enumerate(texts.to_pylist()):
+            spans = c.cut(text_ or "")
+            sums = c.counts(spans)
+            k = int(sums.searchsorted(budget, "right"))
+            out[:, row] = (sums[-1] if len(sums) else 0, sum(map(len, spans[:k])), sums[k - 1] if k else 0)
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], ["n_tokens", "fit_chars", "fit_tokens"])
+
+    return F.arrow_udf(count, "struct<n_tokens:bigint,fit_chars:bigint,fit_tokens:bigint>")(F.col(text) if isinstance(text, str) else text)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit.
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit, fit_chars, fit_tokens.
 
-    Null and empty texts have 0 bytes and 0 tokens. Equal rows get equal answers.
+    fit_chars is where a text can be cut to hold limit tokens at most (between spans), fit_tokens
+    what it then holds. Null and empty texts have 0 of everything; very long texts are counted
+    whole; equal rows get equal answers; an empty table gives no rows. Other columns of docs, of
+    any name, are not read.
     """
     return docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        prefix_table("text", path, tables=False).alias("_t"),
-    ).select("doc_id", "n_bytes", F.col("_t.n_tokens").alias("n_tokens"), (F.col("_t.n_tokens") > limit).alias("over_limit"))
+        budgeted("text", path, limit).alias("_t"),
+    ).select(
+        "doc_id", "n_bytes", "_t.n_tokens", (F.col("_t.n_tokens") > limit).alias("over_limit"), "_t.fit_chars", "_t.fit_tokens"
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:

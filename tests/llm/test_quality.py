@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from loresift.llm.quality import accepted, classify
+import numpy as np
+
+from loresift.llm.quality import LEAST_SPREAD, POOL, SHRINK, STATISTICS, accepted, classify, fit
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -28,6 +30,27 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert stay.columns == docs.columns and stay.count() == sum(r.predicted for r in got)
 
 
+def test_scores_are_those_of_a_discriminant_computed_from_the_rows(spark):
+    rng = np.random.default_rng(4)
+    d = len(STATISTICS)
+    x = rng.standard_normal((400, d)) @ rng.standard_normal((d, d)) + 3
+    y = rng.integers(0, 2, 400)
+    x[y == 1] = x[y == 1] * 1.3 + 0.7
+    rows = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(y, x, strict=True)], "quality int, stats array<double>")
+    got = fit(rows).scores(x)
+    # from the rows themselves: standardise, shrink towards the pooled covariance and the identity, log densities by determinant and solve
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    covs = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * covs[c] for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        cov = (1 - POOL) * covs[c] + POOL * pooled
+        cov = (1 - SHRINK) * cov + SHRINK * (np.trace(cov) / d + LEAST_SPREAD) * np.eye(d)
+        away = z - z[y == c].mean(axis=0)
+        logs.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (away * np.linalg.solve(cov, away.T).T).sum(axis=1))
+    assert np.allclose(got, 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6) and 0.05 < got.std()
+
+
 def test_one_class_and_no_labels(spark):
     docs = spark.createDataFrame([(0, "a b", ""), (1, "c", "")], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from loresift.llm.token_counts import counter, token_counts
+from loresift.llm.token_counts import counter, prefix_table, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -43,6 +43,17 @@ def test_longest_prefix_fits():
     assert n(text[: c.longest_prefix(text, table, 3)]) <= 3
 
 
+def test_budgets_and_tables(spark):
+    texts = ["one two three four five " * 60, "short", "", None, "x" * 3000, "  é  " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_counts(docs, PATH, 20).collect():
+        text = texts[r.doc_id] or ""
+        assert r.fit_tokens == n(text[: r.fit_chars]) <= 20 and r.over_limit == (n(text) > 20)
+        assert r.over_limit or r.fit_chars == len(text)
+    for r in docs.select("doc_id", prefix_table("text", PATH).alias("t")).collect():
+        assert all(x.tokens == n((texts[r.doc_id] or "")[: x.end]) for x in r.t[:50])
+
+
 @pytest.mark.parametrize("text,expected", [(None, (0, 0)), ("", (0, 0)), ("é", (2, 1))])
 def test_query_rows(spark, text, expected):
     docs = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, n_tokens int")
