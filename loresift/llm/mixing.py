@@ -67,7 +67,9 @@ def mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
     whole passes take the document; of one more pass ``part`` of its words are taken: all, none,
     or for the document that a source's budget ends in, the words up to the exact end.
     Empty or null texts have size 0 and take 0 words. A null source is a source of its own,
-    sorted last. Null ids sort by an empty id. Equal rows are interchangeable. Two runs agree.
+    sorted last. Null ids sort by an empty id. Equal rows are interchangeable. Two runs agree. Very
+    long texts count whole; an empty table gives no rows. One task shares out the targets: it holds
+    a row of a few numbers for each source, so some millions of sources at most.
     """
     sized = docs.select(
         F.struct("*").alias("row"),

@@ -34,3 +34,32 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert set(range(60)) <= set(ids[1])
     assert set(ids[1]) - set(ids[2]) == {300}
     assert set(ids[4]) == set(ids[3]) <= set(ids[2]) and len(ids[4]) == len(ids[3])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Clashing names, repeated rows, nulls, a very long text; then the same with no rows at all."""
+    extra = ["row", "fp", "score", "n_words", "before", "source_key", "component_id", "size", "key", "ids"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    texts = [f"The number {i} house. " + " ".join(f"Word{i}x{k} follows." for k in range(30)) for i in range(12)]
+    rows = [(i, t, "en", f"s{i % 2}", 0, *extra) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (50, None, None, None, None, *[None] * 10), (51, "", "en", "s1", 0, *extra), (None, "No id here at all.", "en", "s0", 0, *extra)]
+    rows += [(60, "A long one. " + "It goes on and on. " * 50_000, "en", "s0", 0, *extra)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(0, "never seen words of a benchmark item that nobody holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, str(tmp_path))
+            assert after.columns == docs.columns, name
+            now = corpus_pipeline.store.materialize(after, "odd")
+        found = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert len(found) == now.count()
+        if some is docs:
+            counts = {}
+            for r in now.select("doc_id", "row", "ids").collect():
+                counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+                assert r.doc_id == 50 or (r.row, r.ids) == ("row", "ids")
+            assert {*range(12), 60} <= set(counts) and counts[3] <= 2
+        else:
+            assert not found
