@@ -47,7 +47,8 @@ def windows(docs: DataFrame, n: int, eos_before: str | None = None) -> DataFrame
     """Every token with those after it: (doc, pos, t1, ..., tn); null beyond a document's end. With eos_before, positions start at -1."""
     toks = F.concat(F.array(F.lit(eos_before)), "toks") if eos_before else F.col("toks")
     laid = docs.select("doc", toks.alias("toks"))
-    columns = [F.slice("toks", k, F.greatest(F.size("toks") - k + 1, F.lit(0))).alias(f"t{k}") for k in range(1, n + 1)]
+    later = [F.slice("toks", k, F.greatest(F.size("toks") - k + 1, F.lit(0))).alias(f"t{k}") for k in range(2, n + 1)]
+    columns = [F.col("toks").alias("t1"), *later]
     rows = laid.select("doc", F.posexplode(F.arrays_zip(*columns)).alias("pos", "w"))
     first = -1 if eos_before else 0
     return rows.select("doc", (F.col("pos") + first).cast("int").alias("pos"), "w.*")
