@@ -247,7 +247,7 @@ _WHITE = batch.separators(0x20, 0x0A)
 def _streams(loose: pa.Array, hosts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the pages, salted by host, and each page's first."""
     tokens, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    salts = np.repeat(hosts.to_numpy(zero_copy_only=False).view(np.uint64), 1)
+    salts = hosts.to_numpy(zero_copy_only=False).view(np.uint64)
     at = 0
     for octets, ends in batch.slices(loose.cast(pa.binary())):
         words = batch.Words(octets, ends, _WHITE)
