@@ -4,6 +4,8 @@ Every node ends up pointing at the least node it can reach. A round replaces, at
 the larger neighbours' edges by edges to the least neighbour (large star), then the smaller
 neighbours' (small star). The minima are map-side combined, so a hub with very many
 neighbours costs a shuffle of its edges and no task holds them; edges never become more.
+Edges compress so well that the size of their file says little: their number decides whether
+Spark may broadcast them.
 """
 
 from __future__ import annotations
@@ -14,16 +16,20 @@ from pyspark.sql import functions as F
 from loresift.llm import store
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(rows: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    return rows.join(least.hint("merge") if many else least, "a")
+
+
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return _least(both.where("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = _least(down, least, many).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,9 +42,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     now = store.materialize(now.distinct(), "edges")
-    state = None
+    many, state = 2 * now.count() * store.ROW_BYTES > store.SMALL_BYTES, None
     while True:
-        after = store.materialize(_small_star(_large_star(now)), "edges")
+        after = store.materialize(_small_star(_large_star(now, many), many), "edges")
         store.discard(now)
         now = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()

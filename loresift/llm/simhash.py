@@ -167,13 +167,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     distinct: rep (long), fp (long, distinct). A key with more than CHUNK members is dealt by
     hash into chunks, and each pair of chunks is a group of its own, so no task holds a large key.
+    Keys are many times the rows they are made from, which Spark's estimate of their size leaves
+    out: the joins are told to shuffle, or the driver would be sent every key.
     """
     n = distinct.count()
     table = distinct.select("rep", "fp", *pivot_row("fp"))
     keyed = table.select("rep", "fp", *PIVOT_COLUMNS, F.explode(keys("fp", n, radius)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    dealt = keyed.join(sizes, "key").withColumn("chunks", chunks).withColumn(
+    dealt = keyed.join(sizes.hint("merge"), "key").withColumn("chunks", chunks).withColumn(
         "mine", F.pmod(F.xxhash64("fp", F.lit(1)), "chunks").cast("int")
     )
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
@@ -228,7 +230,7 @@ def assign(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     found = store.materialize(links(distinct, radius), "links")
     merged = components(found)
-    named = distinct.join(merged, F.col("rep") == F.col("node"), "left").select(
+    named = distinct.join(merged.hint("merge"), F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(named, "fp", "left")

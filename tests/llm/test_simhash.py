@@ -73,6 +73,24 @@ def test_links_join_what_all_near_pairs_join(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_no_join_sends_keys_or_many_edges_to_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.getrandbits(63)) for i in range(0, 8000, 2)]
+    rows += [(i + 1, fp ^ 1 << rng.randrange(63)) for i, fp in rows]
+    stored, plans = simhash.store.materialize, []
+
+    def watched(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, tag)
+
+    prints = stored(spark.createDataFrame(rows, "doc_id long, fp long"), "prints")
+    monkeypatch.setattr(simhash.store, "materialize", watched)
+    monkeypatch.setattr(simhash.store, "SMALL_BYTES", 1000)
+    got = {r.doc_id: r.component_id for r in simhash.assign(prints).collect()}
+    assert got == {i: i - i % 2 for i in range(8000)}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def forest(values, side):
     table = np.bitwise_count(values[:, None] ^ simhash._pivots()[None, :]).astype(np.int8)
     return simhash._forest(values, table, side, RADIUS)
