@@ -180,11 +180,13 @@ def learn(rows: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the classifier predicts to be of quality 1."""
-    taught = labels.select("doc_id")
-    model = learn(docs.join(taught, "doc_id", "left_semi").select("doc_id", with_statistics("text").alias("stats")), labels)
-    scored = docs.select(F.struct("*").alias("row"), with_statistics("text").alias("stats"))
-    return scored.where(score(model, "stats") >= THRESHOLD).select("row.*")
+    """The rows of docs, all columns, that the classifier predicts to be of quality 1.
+
+    Rows are stored with their statistics: labels meet these alone, and texts are looked at once and not moved.
+    """
+    rows = materialize(docs.select(F.struct("*").alias("row"), "doc_id", with_statistics("text").alias("stats")), "scored")
+    model = learn(rows.select("doc_id", "stats"), labels)
+    return rows.where(score(model, "stats") >= THRESHOLD).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

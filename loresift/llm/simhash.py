@@ -223,17 +223,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return assign(prints, radius)
 
 
+def _joined(distinct: DataFrame, radius: int) -> DataFrame:
+    """The rows of distinct, a stored table with a row for each fp, and component_id, the least rep reachable."""
+    merged = components(store.materialize(links(distinct, radius), "links"))
+    joined = distinct.join(merged.hint("merge"), F.col("rep") == F.col("node"), "left").drop("node")
+    return joined.withColumn("component_id", F.coalesce("component", "rep")).drop("component")
+
+
 def assign(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Components for (doc_id, fp) rows of a stored table."""
     distinct = store.materialize(
         prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct"
     )
-    found = store.materialize(links(distinct, radius), "links")
-    merged = components(found)
-    named = distinct.join(merged.hint("merge"), F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return prints.join(named, "fp", "left")
+    return prints.join(_joined(distinct, radius).select("fp", "component_id"), "fp", "left")
 
 
 def hexadecimal(fp: str) -> Column:
@@ -244,12 +246,21 @@ def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that represent their component: one row for each.
 
     Of repeated rows one stays. Where a component has no doc_id at all, one row for each of its fingerprints stays.
+    Texts are not moved: rows are numbered as they are stored, and which stay is told by a bitmap for each run of numbers.
     """
-    rows = store.materialize(docs.select(F.struct("*").alias("row"), "doc_id", fingerprints("text").alias("fp")), "rows")
-    named = assign(rows.select("doc_id", "fp"), radius)
-    chosen = named.where("doc_id = component_id or component_id is null").select("doc_id", "fp").distinct()
-    same = rows.doc_id.eqNullSafe(chosen.doc_id) & (rows.fp == chosen.fp)
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "fp"]).select("row.*")
+    numbered = docs.select(F.struct("*").alias("row"), "doc_id", fingerprints("text").alias("fp"), F.monotonically_increasing_id().alias("at"))
+    rows = store.materialize(numbered, "rows")
+    # of a fingerprint's rows only one can stay, the first of its least doc_id
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")).alias("first")
+    firsts = store.materialize(rows.groupBy("fp").agg(first).select("fp", F.col("first.doc_id").alias("rep"), "first.at"), "distinct")
+    named, unnamed = firsts.where("rep is not null"), firsts.where("rep is null")
+    staying = _joined(named, radius).where("rep = component_id").select("at").union(unnamed.select("at"))
+    run, place = F.bitmap_bucket_number("at"), F.bitmap_bit_position("at")
+    bits = staying.select(run.alias("run"), place.alias("place")).repartition("run").groupBy("run").agg(F.bitmap_construct_agg("place").alias("bits"))
+    bits = store.materialize(bits, "bits")
+    octet = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    stays = F.getbit(octet, place.bitwiseAND(F.lit(7))) == 1
+    return rows.join(store.small(bits, F.length("bits")), run == F.col("run")).where(stays).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+from loresift.llm import quality
 from loresift.llm.quality import LEAST_SPREAD, POOL, SHRINK, STATISTICS, accepted, classify, fit
 
 SCHEMA = "doc_id long, text string, score string"
@@ -58,3 +59,20 @@ def test_one_class_and_no_labels(spark):
     only = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int")
     assert {r.score for r in classify(docs, only).collect()} == {1.0}
     assert classify(docs.limit(0), none).count() == 0
+
+
+def test_labels_meet_statistics_and_not_texts(spark, monkeypatch):
+    rng, plans, fitted = random.Random(3), [], quality.fit
+    rows = [(i, " ".join(rng.choice(["word", "Word", "x1", "##", "more"]) for _ in range(30 + i % 50)), "x") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stats string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 3)] + [(0, 1)], "doc_id long, quality int")
+
+    def watched(taught):
+        plans.append(taught._jdf.queryExecution().analyzed().toString() + taught._jdf.queryExecution().executedPlan().toString())
+        return fitted(taught)
+
+    monkeypatch.setattr(quality, "fit", watched)
+    stay = accepted(docs, labels)
+    assert len(plans) == 1 and "stats" in plans[0] and "text" not in plans[0].split("AdaptiveSparkPlan")[1] and "ArrowEvalPython" not in plans[0]
+    assert stay.columns == docs.columns and {tuple(r) for r in stay.collect()} <= set(rows)
+    assert {r.doc_id for r in stay.collect()} == {r.doc_id for r in classify(docs, labels).collect() if r.predicted}

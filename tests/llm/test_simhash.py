@@ -169,6 +169,19 @@ def test_rows(spark):
     assert sorted((r.doc_id or -1) for r in stay.collect()) == [-1, 3, 7, 11, 12]
 
 
+def test_kept_rows_are_not_moved(spark):
+    """Over 32,768 rows of one partition, copies of them in another: every row that stays stays once, whichever partition it is in, and no text is shuffled."""
+    spark.range(0, 40_000, 1, 1).union(spark.range(0, 40_000, 7, 3)).union(spark.range(39_990, 40_050, 1, 2)).createOrReplaceTempView("ids")
+    docs = spark.sql("select id as doc_id, concat(id, ' is a number of its own ', hash(id), ' ', hash(id, 1), ' ', hash(id, 2)) as text, id % 3 as fp from ids")
+    stay = kept(docs)
+    plan = stay._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
+    got = sorted((r.doc_id, r.text, r.fp) for r in stay.collect())
+    component = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == sorted((r.doc_id, r.text, r.fp) for r in docs.distinct().collect() if component[r.doc_id] == r.doc_id)
+    assert len(got) > 35_000
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0 and kept(docs).count() == 0
