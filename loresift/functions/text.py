@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -26,8 +27,8 @@ def column(c: str | Column) -> Column:
 
 
 def collapse(text: str | Column) -> Column:
-    """Runs of ASCII white space become one space."""
-    return F.regexp_replace(column(text), r"\s+", " ")
+    """Runs of ASCII white space become one space; only what changes is matched, single spaces are not."""
+    return F.regexp_replace(column(text), r"[\t\n\x0B\f\r]\s*| \s+", " ")
 
 
 def clean(text: str | Column) -> Column:
@@ -38,6 +39,12 @@ def clean(text: str | Column) -> Column:
     return F.trim(out)
 
 
+def has_text(text: str | Column) -> Column:
+    """Whether anything is left of a text that is cleaned; most texts show it by a character that no marker has, and are not cleaned for it."""
+    marks = re.escape("".join(sorted(set("".join(MARKERS)))))
+    return column(text).rlike(rf"[^\s{marks}]") | (F.length(clean(text)) > 0)
+
+
 @F.pandas_udf(T.StringType())
 def repair(text: pd.Series) -> pd.Series:
     """NFC, after undoing UTF-8 that was read as Latin-1 where that gives valid text."""
@@ -63,10 +70,10 @@ def with_title(title: str | Column, text: str | Column, delimiter: str = TITLE_E
     return F.concat_ws(" ", column(title), F.lit(delimiter), column(text))
 
 
-def tokens(text: str | Column, lowercase: bool = True) -> Column:
-    """White-space tokens; a text without words has an empty array."""
-    kept = F.trim(collapse(F.lower(column(text)) if lowercase else text))
-    return F.filter(F.split(kept, " "), lambda w: w != "")
+def tokens(text: str | Column, lowercase: bool = True, cleaned: bool = False) -> Column:
+    """White-space tokens; a text without words has an empty array. A cleaned text has no white space but spaces."""
+    kept = F.lower(column(text)) if lowercase else column(text)
+    return F.filter(F.split(kept if cleaned else collapse(kept), " "), lambda w: w != "")
 
 
 def with_eos(toks: str | Column) -> Column:

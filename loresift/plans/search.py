@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loresift.functions.storage import stored
-from loresift.functions.text import EOS, TITLE_END, clean, column, prompt, repair, split_at, subwords, tokens, with_title, words
+from loresift.functions.text import EOS, TITLE_END, clean, column, has_text, prompt, repair, split_at, subwords, tokens, with_title, words
 from loresift.operators import evidence, keys, match
 from loresift.operators import generate as generation
 from loresift.operators.generate import BeamOptions
@@ -80,9 +80,9 @@ def build_corpus(
     for on, change in ((fix, repair), (split_words, words)):
         if on:
             rows = rows.withColumns({c: change(F.col(c)) for c in ("title", "text")})
-    text = rows.withColumn("text", clean("text")).where("length(text) > 0")
+    text = rows.where(has_text("text")).withColumn("text", clean("text"))
     full = with_title("title", "text", delimiter) if include_title else column("text")
-    toks = subwords(F.lower(full) if lowercase else full, tokenizer) if tokenizer else tokens(full, lowercase)
+    toks = subwords(F.lower(full) if lowercase else full, tokenizer) if tokenizer else tokens(full, lowercase, cleaned=not include_title)
     return text.select(F.col(doc).alias("doc"), "title", "text", toks.alias("toks"))
 
 
