@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from loresift.functions.storage import stored
+from loresift.operators import match
+
 
 def key_order(options) -> list:
     """Order in which keys are credited and the greatest key is chosen; every tie is settled by the key itself."""
@@ -20,8 +23,21 @@ def key_order(options) -> list:
     return [*first, F.desc("score"), F.asc("ngram")]
 
 
-def discounted(hits: DataFrame, options) -> DataFrame:
-    """Credit of each key in each document, overlaps allowed: (query, doc, ngram, score, credit, rank).
+def hits_of(keys: DataFrame, occurrences: DataFrame, first: DataFrame, places: bool = True) -> DataFrame:
+    """Occurrences of a query's keys in its candidates; where places do not matter, a key once for each document.
+
+    A document's occurrences meet the queries that have it as a candidate before they meet keys:
+    candidates are so many a query, while a frequent key has occurrences in most of the text and
+    belongs to most queries.
+    """
+    asked = match.few(first.select("query", "doc"))
+    if not places:
+        occurrences = occurrences.select("ngram", "doc").distinct()
+    return occurrences.join(asked, "doc").join(match.few(keys), ["query", "ngram"])
+
+
+def discounted(hits: DataFrame, options, only: DataFrame | None = None) -> DataFrame:
+    """Credit of each key in each document, overlaps allowed: (query, doc, ngram, score, credit, rank). only: (query, doc) to work out.
 
     hits: distinct (query, doc, ngram, score). A key's credit falls with the share of its token
     types that better keys of the same document have used. A type is new in the first-ranked key
@@ -29,6 +45,8 @@ def discounted(hits: DataFrame, options) -> DataFrame:
     """
     rank = F.dense_rank().over(W.partitionBy("query").orderBy(F.desc("score"), "ngram"))
     order = hits.select("query", "ngram", "score").distinct().withColumn("rank", rank).drop("score")
+    if only is not None:
+        hits = hits.join(match.few(only.select("query", "doc")), ["query", "doc"], "left_semi")
     ranked = hits.join(order, ["query", "ngram"])
     types = ranked.select("query", "doc", "ngram", "score", "rank", F.explode(F.array_distinct(F.split("ngram", " "))).alias("type"))
     first = F.min("rank").over(W.partitionBy("query", "doc", "type"))
@@ -116,7 +134,7 @@ def free_keys(hits: DataFrame) -> DataFrame:
 
 def full_scores(keys: DataFrame, occurrences: DataFrame, first: DataFrame, unigrams: DataFrame, docs: DataFrame, options) -> DataFrame:
     """Stage 2: (query, doc, score, best_key, best_score) by all keys, for the candidates of stage 1."""
-    hits = occurrences.join(keys, "ngram").join(first.select("query", "doc"), ["query", "doc"], "left_semi")
+    hits = stored(hits_of(keys, occurrences, first, not (options.allow_overlaps and options.unigrams_ignore_free_places)), "hits")
     if options.allow_overlaps:
         credits = discounted(hits.select("query", "doc", "ngram", "score").distinct(), options).select("query", "doc", "ngram", "credit")
     else:

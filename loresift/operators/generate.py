@@ -1,7 +1,7 @@
 """Beam search over keys that the corpus holds.
 
-A beam is a row (query, ngram, n, lp). Where the corpus holds the beams is kept from step to step,
-so a step looks one token on at those places only, and an impossible key never comes up; the best 2 x beam of a query are all kept
+A beam is a row (query, ngram, n, lp). Where the corpus holds beams of two tokens is kept with the
+tokens that follow, so later steps read those only, and an impossible key never comes up; the best 2 x beam of a query are all kept
 as keys, and the best beam of them that have not ended go on. Steps are few (the length).
 """
 
@@ -36,74 +36,110 @@ class BeamOptions:
     length_penalty: float = 0.0
 
 
-def first_tokens(queries: DataFrame, token_counts: DataFrame, most: int, sampled: bool = False) -> DataFrame:
-    """(query, next): a query's own tokens, and the corpus's most frequent ones; no other can be among the best ``most``.
+def _own(queries: DataFrame, token_counts: DataFrame) -> DataFrame:
+    """(query, next, tf, cf) for a query's own tokens that the corpus holds."""
+    tf = queries.select("query", F.explode("toks").alias("next")).groupBy("query", "next").agg(F.count("*").alias("tf"))
+    return token_counts.withColumnRenamed("token", "next").join(match.few(tf), "next").select("query", "next", "tf", "cf")
+
+
+def _lookup(beams: DataFrame, n: int, rest: int, index, spots: DataFrame | None, starts: DataFrame | None, forced: str | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """What follows beams of n tokens: (ngram, next, c), and what the next lookup needs: spots (ngram, the ``rest`` tokens after it) and the beams of one token.
 
-    Sampled, any token can be drawn, so all of the corpus are returned.
+    Beams of one token stand nearly everywhere, so only pairs of tokens are counted. From two tokens
+    on each place is written down with what follows it, and no document is read again.
     """
-    if sampled:
-        return queries.select("query").crossJoin(token_counts.where(F.col("token") != EOS).select(F.col("token").alias("next")))
-    own = queries.select("query", F.explode("toks").alias("next")).distinct()
-    common = token_counts.where(F.col("token") != EOS).orderBy(F.desc("cf"), "token").limit(most + 512).select(F.col("token").alias("next"))
-    every = queries.select("query").crossJoin(F.broadcast(common))
-    held = own.join(token_counts.select(F.col("token").alias("next")), "next", "left_semi").select("query", "next")
-    return held.unionByName(every).distinct()
+    wanted = beams.select("ngram").distinct()
+    before = EOS if forced == EOS else None
+    if n == 1:
+        starts = stored(wanted.withColumnRenamed("ngram", "t1"), "starts")
+        pairs = match.beginning(index.docs, starts, 2, before).where("t2 is not null")
+        return pairs.groupBy(F.col("t1").alias("ngram"), F.col("t2").alias("next")).agg(F.count("*").alias("c")), None, starts
+    if spots is None:
+        grown = match.beginning(index.docs, starts, 2, before, rest).where("t2 is not null and size(rest) > 0").select(match.joined(2).alias("ngram"), "rest")
+    else:
+        grown = spots.where(F.size("rest") > 1).select(F.concat_ws(" ", "ngram", F.col("rest")[0]).alias("ngram"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest"))
+    spots = stored(grown.join(match.few(wanted), "ngram", "left_semi"), "spots")
+    return spots.groupBy("ngram", F.col("rest")[0].alias("next")).agg(F.count("*").alias("c")), spots, starts
+
+
+def _likely(beams: DataFrame, counted: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """beams with ``next`` and ``cf``: their ``most`` most frequent followers and those that the query holds.
+
+    The others have the probability of their frequency only, so at least ``most`` followers of the
+    same beam are likelier, or as likely and before them by name. (Frequencies that rounding to 9
+    digits cannot tell apart are over 5e8; ``most`` tokens so frequent need a text of over 1e10.)
+    """
+    order = W.partitionBy("ngram").orderBy(F.desc("cf"), "next")
+    common = counted.select("ngram", "next", "cf").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+    asked = match.few(beams.join(own.select("query", "next"), "query"))
+    held = counted.select("ngram", "next", "cf").join(asked, ["ngram", "next"])
+    columns = [*beams.columns, "next", "cf"]
+    return beams.join(common, "ngram").select(columns).unionByName(held.select(columns)).distinct()
 
 
-def _token_lp(found: DataFrame, queries: DataFrame, token_counts: DataFrame, total, mu: float) -> DataFrame:
-    tf = queries.select("query", F.explode("toks").alias("next")).groupBy("query", "next").agg(F.count("*").alias("tf"))
-    sizes = queries.select("query", F.size("toks").alias("len"))
+def _any(beams: DataFrame, token_counts: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """As _likely, whatever follows beams in the corpus: its most frequent tokens and the query's own. No end token."""
+    tokens = token_counts.where(F.col("token") != EOS).withColumnRenamed("token", "next")
+    common = tokens.orderBy(F.desc("cf"), "next").limit(most + 512).select("next", "cf")
+    held = beams.join(own.where(F.col("next") != EOS).select("query", "next", "cf"), "query")
+    return beams.crossJoin(F.broadcast(common)).unionByName(held.select(*beams.columns, "next", "cf")).distinct()
+
+
+def _scored(found: DataFrame, own: DataFrame, sizes: DataFrame, total, mu: float) -> DataFrame:
     p = (F.coalesce("tf", F.lit(0)) + F.lit(mu) * F.col("cf") / total) / (F.col("len") + mu)
     return (
-        found.join(token_counts.withColumnRenamed("token", "next"), "next")
-        .join(tf, ["query", "next"], "left")
+        found.join(own.select("query", "next", "tf"), ["query", "next"], "left")
         .join(sizes, "query")
         .withColumn("token_lp", F.log(p))
-        .drop("cf", "tf", "len")
+        .withColumn("score", F.col("lp") + F.col("token_lp"))
+        .drop("tf", "len")
     )
 
 
-def _starts(beams: DataFrame, docs: DataFrame, forced: str | None) -> DataFrame:
-    """Where beams of one token end: (ngram, doc, at). The end token also stands before every document."""
-    tokens = match.few(beams.select("ngram").distinct())
-    found = docs.select("doc", F.posexplode("toks").alias("at", "ngram")).join(tokens, "ngram").select("ngram", "doc", "at")
-    if forced == EOS:
-        found = found.unionByName(docs.select(F.lit(EOS).alias("ngram"), "doc", F.lit(-1).alias("at")))
-    return found
+def _key(options: BeamOptions, step: int) -> Column:
+    """What beams are ordered by; sampled, a score with Gumbel noise."""
+    if options.sample is None:
+        return F.round("score", 9)
+    u = draw(options.sample, F.col("query").cast("string"), F.lit(str(step)), "ngram_", F.col("ngram"), F.col("next"))
+    return F.round(F.col("score") - F.log(-F.log(F.greatest(u, F.lit(1e-9)))), 9)
 
 
-def _followers(spots: DataFrame, docs: DataFrame) -> DataFrame:
-    """The tokens that follow: spots (ngram, doc, at) as (ngram, next, doc, at one on), stored.
+def _drawn(likely: DataFrame, beams: DataFrame, followers: DataFrame, on: list[str], sizes: DataFrame, options: BeamOptions, step: int, total, mu: float) -> DataFrame:
+    """likely (scored) with all other followers (ngram, next, cf) that can be drawn; any can.
 
-    A document's spots are placed in its tokens once; where they are few, adaptive execution sends
-    them to the documents.
+    The keys of the likely ones say what a query's picks reach at least; of all others only those are
+    kept that reach it too, each looked at where it lies, so that nothing is sorted for them. Most
+    fail by the first digits of their draw, for which a token's frequency sets the least ones.
     """
-    per_doc = spots.groupBy("doc").agg(F.collect_list(F.struct("ngram", "at")).alias("spots"))
-    held = docs.join(per_doc, "doc")
-    one_on = F.transform("spots", lambda s: F.struct(s["ngram"].alias("ngram"), F.try_element_at("toks", s["at"] + 2).alias("next"), (s["at"] + 1).alias("at")))
-    return stored(held.select("doc", F.inline(one_on)).where("next is not null"), "followers")
-
-
-def _following(beams: DataFrame, followers: DataFrame, options: BeamOptions) -> DataFrame:
-    """beams with ``next`` and ``count``, the occurrences of the beam itself."""
-    counted = followers.groupBy("ngram", "next").agg(F.count("*").alias("c"))
-    with_total = counted.withColumn("count", F.sum("c").over(W.partitionBy("ngram")))
-    found = beams.join(with_total.drop("c"), "ngram")
-    if options.stop_at_count:
-        found = found.where(F.col("count") > options.stop_at_count)
-    if options.always_allow_eos:
-        ends = beams.withColumn("next", F.lit(EOS)).join(found.select("query", "ngram", "next"), ["query", "ngram", "next"], "left_anti")
-        found = found.unionByName(ends.withColumn("count", F.lit(None).cast("long")))
-    return found
+    picks = options.groups * _width(options)
+    # a penalty or an earlier pick can strike so many of the best
+    need = picks if options.groups == 1 else picks * (options.beam + 1)
+    ranked = likely.withColumn("_k", _key(options, step)).withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("_k"))))
+    least = ranked.where(F.col("_r") == need).select("query", F.col("_k").alias("_least"))
+    prefix = F.concat_ws("|", F.lit(options.sample), F.col("query").cast("string"), F.lit(str(step)), F.lit("ngram_"), "ngram", F.lit(""))
+    asked = beams.join(sizes, "query").join(least, "query", "left").withColumn("_prefix", prefix).withColumn("_least", F.coalesce("_least", F.lit(-1e300)))
+    asked = stored(asked, "asked")
+    reach = asked.groupBy(*on).agg(F.min(F.col("_least") - F.col("lp") + F.log(F.col("len") + F.lit(mu))).alias("_reach"))
+    share = F.exp(-F.exp(F.log(F.lit(mu) * F.col("cf") / total) - F.col("_reach") + 1e-6))
+    digits = F.lower(F.lpad(F.hex(F.greatest(F.lit(0), F.floor(share * F.lit(4294967296.0)) - 64).cast("long")), 8, "0"))
+    # as many tasks as there are cores at least: what a task holds is few bytes and much work
+    spread = followers.repartition(max(64, 3 * beams.sparkSession.sparkContext.defaultParallelism))
+    bounded = (spread.join(match.few(reach), on) if on else spread.crossJoin(F.broadcast(reach))).withColumn("_low", digits).drop("_reach")
+    met = bounded.join(match.few(asked), on) if on else bounded.crossJoin(match.few(asked))
+    near = met.where(F.substring(F.md5(F.concat("_prefix", "next")), 1, 8) >= F.col("_low"))
+    p = (F.lit(0) + F.lit(mu) * F.col("cf") / total) / (F.col("len") + mu)
+    scored = near.withColumn("token_lp", F.log(p)).withColumn("score", F.col("lp") + F.col("token_lp"))
+    reached = scored.where(_key(options, step) >= F.col("_least")).select(likely.columns)
+    return likely.unionByName(reached.join(likely.select("query", "ngram", "next"), ["query", "ngram", "next"], "left_anti"))
+
+
+def _width(options: BeamOptions) -> int:
+    return 2 * max(1, options.beam // options.groups)
 
 
 def _pick(found: DataFrame, options: BeamOptions, step: int) -> DataFrame:
     """The best 2 x beam of each query, group after group if there are several."""
-    key: Column = F.round("score", 9)
-    if options.sample is not None:
-        u = F.greatest(draw(options.sample, F.col("query").cast("string"), F.lit(str(step)), "ngram_", F.col("ngram"), F.col("next")), F.lit(1e-9))
-        key = F.round(F.col("score") - F.log(-F.log(u)), 9)
-    width = 2 * max(1, options.beam // options.groups)
+    key, width = _key(options, step), _width(options)
     picked: list[DataFrame] = []
     rest = found
     for group in range(options.groups):
@@ -125,27 +161,36 @@ def generate(queries: DataFrame, index, token_counts: DataFrame, total, options:
     Every step's beams are stored: their lineage is cut, and their reader reads one and the same draw.
     """
     queries = queries.where(F.size("toks") > 0)
-    most = 2 * options.beam
+    most = max(2 * options.beam, options.groups * _width(options), options.topk)
     start = queries.select("query", F.lit(options.forced_prefix or "").alias("ngram"), F.lit(1 if options.forced_prefix else 0).alias("n"), F.lit(0.0).alias("lp"))
+    sizes = queries.select("query", F.size("toks").alias("len"))
+    own = stored(_own(queries, token_counts), "own")
     beams, kept = start, []
-    followers = None
+    spots = starts = None
     for step in range(1, options.length + 1):
         if (step == 1 and not options.forced_prefix) or options.free:
-            found = beams.join(first_tokens(queries, token_counts, most, options.sample is not None), "query").withColumn("count", F.lit(None).cast("long"))
+            followers, on = token_counts.where(F.col("token") != EOS).withColumnRenamed("token", "next"), []
+            found = _any(beams, token_counts, own, most)
         else:
-            if followers is None:
-                spots = _starts(beams, index.docs, options.forced_prefix)
-            else:
-                grown = followers.select(F.concat_ws(" ", "ngram", "next").alias("ngram"), "doc", "at")
-                spots = grown.join(beams.select("ngram").distinct(), "ngram", "left_semi")
-            followers = _followers(spots, index.docs)
-            found = _following(beams, followers, options)
-        found = _token_lp(found, queries, token_counts, total, mu)
+            n = step if options.forced_prefix else step - 1
+            counted, spots, starts = _lookup(beams, n, options.length - step + 1, index, spots, starts, options.forced_prefix)
+            counted = stored(token_counts.withColumnRenamed("token", "next").join(match.few(stored(counted, "followers")), "next"), "counted")
+            if options.stop_at_count:
+                often = counted.groupBy("ngram").agg(F.sum("c").alias("c")).where(F.col("c") > options.stop_at_count)
+                counted = counted.join(match.few(often.select("ngram")), "ngram", "left_semi")
+            followers, on = counted.select("ngram", "next", "cf"), ["ngram"]
+            found = _likely(beams, counted, own, most)
+            if options.always_allow_eos:
+                end = token_counts.where(F.col("token") == EOS).select(F.col("token").alias("next"), "cf")
+                found = found.unionByName(beams.crossJoin(F.broadcast(end)).select(found.columns)).distinct()
+        found = _scored(found, own, sizes, total, mu)
         if options.topk:
             per_beam = W.partitionBy("query", "ngram")
             found = found.withColumn("_t", F.row_number().over(per_beam.orderBy(F.desc(F.round("token_lp", 9)), "next"))).where(F.col("_t") <= options.topk)
             found = found.withColumn("token_lp", F.col("token_lp") - F.log(F.sum(F.exp("token_lp")).over(per_beam))).drop("_t")
-        found = found.withColumn("score", F.col("lp") + F.col("token_lp"))
+            found = found.withColumn("score", F.col("lp") + F.col("token_lp"))
+        elif options.sample is not None:
+            found = _drawn(stored(found, "likely"), beams, followers, on, sizes, options, step, total, mu)
         best = _pick(found, options, step).select(
             "query",
             F.concat_ws(" ", F.nullif("ngram", F.lit("")), "next").alias("ngram"),

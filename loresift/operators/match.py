@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loresift.functions.storage import stored
+
 #: Keys up to this many are sent to every executor.
 BROADCAST_KEYS = 500_000
 #: Keys up to this length are found by explosion.
 SHORT = 4
+#: Tokens of a document that are laid out at a time.
+PIECE = 1024
 
 
 def runs(docs: DataFrame, lengths: list[int], eos_before: str | None = None) -> DataFrame:
@@ -39,25 +43,47 @@ def runs(docs: DataFrame, lengths: list[int], eos_before: str | None = None) ->
     return docs.select("doc", F.inline(F.flatten(F.array(*[of(n) for n in lengths]))))
 
 
+def is_few(keys: DataFrame) -> bool:
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
 def few(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    return F.broadcast(keys) if is_few(keys) else keys
 
 
 def windows(docs: DataFrame, n: int, eos_before: str | None = None) -> DataFrame:
     """Every token with those after it: (doc, pos, t1, ..., tn); null beyond a document's end. With eos_before, positions start at -1."""
     toks = F.concat(F.array(F.lit(eos_before)), "toks") if eos_before else F.col("toks")
-    laid = docs.select("doc", toks.alias("toks"))
-    later = [F.slice("toks", k, F.greatest(F.size("toks") - k + 1, F.lit(0))).alias(f"t{k}") for k in range(2, n + 1)]
-    columns = [F.col("toks").alias("t1"), *later]
-    rows = laid.select("doc", F.posexplode(F.arrays_zip(*columns)).alias("pos", "w"))
+    # long documents in pieces, each with the n - 1 tokens after it: what a row lays out is bounded
+    begins = F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)), F.lit(PIECE))
+    cut = F.transform(begins, lambda b: F.struct(b.alias("begin"), F.slice("toks", b + 1, F.lit(PIECE + n - 1)).alias("toks")))
+    laid = docs.select("doc", toks.alias("toks")).select("doc", F.inline(cut))
+    columns = [F.slice("toks", k, F.lit(PIECE)).alias(f"t{k}") for k in range(1, n + 1)]
+    rows = laid.select("doc", "begin", F.posexplode(F.arrays_zip(*columns)).alias("at", "w")).withColumn("pos", F.col("begin") + F.col("at"))
     first = -1 if eos_before else 0
     return rows.select("doc", (F.col("pos") + first).cast("int").alias("pos"), "w.*")
 
 
 def starting(docs: DataFrame, keys: DataFrame, n: int, eos_before: str | None = None) -> DataFrame:
     """The windows of n tokens that start with the first token of one of the keys (ngram)."""
-    first = keys.select(F.element_at(F.split("ngram", " "), 1).alias("t1")).distinct()
-    return windows(docs, n, eos_before).join(few(first), "t1", "left_semi")
+    return beginning(docs, keys.select(F.element_at(F.split("ngram", " "), 1).alias("t1")).distinct(), n, eos_before)
+
+
+def beginning(docs: DataFrame, first: DataFrame, n: int, eos_before: str | None = None, rest: int = 0) -> DataFrame:
+    """The windows of n tokens that start with one of the tokens ``first`` (t1); if asked, with an array of the ``rest`` tokens after them.
+
+    Where the tokens are few, positions meet them as they are laid out, and only those that are left
+    take the tokens after them from their document, which is not copied; else windows are laid out whole.
+    """
+    if not is_few(first):
+        after = F.filter(F.array(*[F.col(f"t{n + k}") for k in range(1, rest + 1)]), lambda t: t.isNotNull())
+        found = windows(docs, n + rest, eos_before).join(first, "t1", "left_semi")
+        return found.select("doc", "pos", *[f"t{k}" for k in range(1, n + 1)], *[after.alias("rest")] * bool(rest))
+    toks = F.concat(F.array(F.lit(eos_before)), "toks") if eos_before else F.col("toks")
+    found = docs.select("doc", toks.alias("toks")).select("doc", "toks", F.posexplode("toks").alias("at", "t1")).join(F.broadcast(first), "t1", "left_semi")
+    later = [F.get("toks", F.col("at") + k).alias(f"t{k + 1}") for k in range(1, n)]
+    after = F.slice("toks", F.col("at") + n + 1, F.lit(rest))
+    return found.select("doc", (F.col("at") - F.lit(1 if eos_before else 0)).cast("int").alias("pos"), "t1", *later, *[after.alias("rest")] * bool(rest))
 
 
 def joined(n: int) -> Column:
@@ -67,7 +93,7 @@ def joined(n: int) -> Column:
 
 
 def by_explosion(docs: DataFrame, keys: DataFrame, eos_before: str | None = None) -> DataFrame:
-    keys = keys.select("ngram", "n").distinct()
+    keys = stored(keys.select("ngram", "n").distinct(), "keys")
     lengths = sorted(r[0] for r in keys.select("n").distinct().collect()) or [1]
     found = starting(docs, keys, lengths[-1], eos_before)
     if eos_before:
@@ -79,14 +105,23 @@ def by_explosion(docs: DataFrame, keys: DataFrame, eos_before: str | None = None
 
 
 def by_rarest_token(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    docs = stored(docs, "documents")
     postings = docs.select("doc", F.posexplode("toks").alias("pos", "token"))
-    counts = postings.groupBy("token").count()
-    pieces = keys.select("ngram", F.posexplode(F.split("ngram", " ")).alias("off", "token"))
+    pieces = stored(keys.select("ngram", F.posexplode(F.split("ngram", " ")).alias("off", "token")), "pieces")
+    # only the keys' tokens are counted
+    asked = few(pieces.select("token").distinct())
+    counts = docs.select(F.explode("toks").alias("token")).join(asked, "token", "left_semi").groupBy("token").count()
     order = W.partitionBy("ngram").orderBy(F.col("count").asc_nulls_first(), "off")
     rarest = (
         pieces.join(counts, "token", "left").withColumn("r", F.row_number().over(order)).where("r = 1 and count is not null")
     )
-    wanted = few(rarest.select("ngram", "off", "token"))
+    wanted = stored(rarest.select("ngram", "off", "token"), "rarest")
+    if is_few(wanted):
+        # keys come to where documents lie: tokens around are compared there, and nothing is moved
+        sized = F.broadcast(wanted.withColumn("n", F.size(F.split("ngram", " "))))
+        here = docs.select("doc", "toks", F.posexplode("toks").alias("at", "token")).join(sized, "token").where("at >= off")
+        same = F.array_join(F.slice("toks", F.col("at") - F.col("off") + 1, F.col("n")), " ") == F.col("ngram")
+        return here.where(same).select("ngram", "doc", (F.col("at") - F.col("off")).alias("pos"))
     # positions first, a document's tokens once: they are not copied to every posting
     starts = postings.join(wanted, "token").select("doc", F.struct("ngram", (F.col("pos") - F.col("off")).alias("pos")).alias("s")).where("s.pos >= 0")
     spots = starts.groupBy("doc").agg(F.collect_list("s").alias("spots"))
