@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loresift.functions.storage import stored
 from loresift.functions.text import STOPWORDS, TITLE_END, draw, is_good
 
 KINDS = ("span", "chunk", "title", "code")
@@ -83,6 +84,7 @@ def span_weights(pairs: DataFrame, temperature: float = 1.0, words: int = 3, sto
         .groupBy("pair", "start")
         .agg(F.sum(ratio("a", "b")).alias("weight"))
     )
+    weights = stored(weights, "weights")
     whole = W.partitionBy("pair")
     share = F.exp((F.col("weight") - F.max("weight").over(whole)) / temperature)
     weighed = weights.withColumn("e", share).withColumn("all", F.sum("weight").over(whole)).withColumn("p", F.col("e") / F.sum("e").over(whole))
@@ -148,17 +150,20 @@ def random_pairs(
     to_title = (F.col("kind") == title) & F.col("to_title")
     good = is_good(F.element_at("toks", F.col("t") + 1), stop)
     ok = F.when(to_title, True).when(F.col("kind") == title, good).otherwise(good & (F.col("s") != F.col("t")))
-    order = W.partitionBy("doc", "kind").orderBy("draw")
-    counted = placed.withColumn("ok", ok).withColumn("nth", F.sum(F.col("ok").cast("int")).over(order).cast("int"))
-    failed = F.col("draw") - F.col("nth")
     source_span = F.array_join(F.slice("toks", F.col("s") + 1, F.col("s_size")), " ")
     target_span = F.array_join(F.slice("toks", F.col("t") + 1, F.col("t_size")), " ")
     source = F.when((F.col("kind") == title) & ~F.col("to_title"), F.trim("title")).otherwise(source_span)
     mark_ = F.when(to_title, F.lit(" || title")).otherwise(F.lit(" || body"))
     source = F.concat(source, mark_, F.lit(" || p" * pretraining))
     target_ = F.when(to_title, F.concat(F.trim("title"), F.lit(f" {delimiter}"))).otherwise(target_span)
-    kept = counted.where(F.col("ok") & (F.col("nth") <= F.col("want")) & (failed < tries))
-    return kept.select("doc", "kind", "nth", F.when(u("case") < 0.1, F.lower(source)).otherwise(source).alias("source"), target_.alias("target"))
+    # spans are cut here: a document's tokens are not moved for each of its draws
+    good_ones = placed.where(ok).select("doc", "kind", "want", "draw", source.alias("source"), target_.alias("target"))
+    order = W.partitionBy("doc", "kind").orderBy("draw")
+    # a draw counts with those of its own number, as a running sum over all draws would count it
+    counted = good_ones.withColumn("nth", F.count("*").over(order.rangeBetween(W.unboundedPreceding, 0)).cast("int"))
+    failed = F.col("draw") - F.col("nth")
+    kept = counted.where((F.col("nth") <= F.col("want")) & (failed < tries))
+    return kept.select("doc", "kind", "nth", F.when(u("case") < 0.1, F.lower("source")).otherwise(F.col("source")).alias("source"), "target")
 
 
 def full_document_pairs(docs: DataFrame, copies: int = 1, pretraining: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loresift.functions.text import EOS, tokens
 from loresift.operators import match
 from loresift.operators.index import CorpusIndex
+from loresift.plans import catalogue
 from loresift.plans.search import build_corpus
 
 SAMPLE = [
@@ -96,3 +97,54 @@ def test_integer_sequences(spark):
     index = CorpusIndex.build(spark.createDataFrame([(1, [7, 8, 7])], "doc long, toks array<int>"))
     assert {r.token: r.cf for r in index.vocabulary().select("token", "cf").collect()} == {"7": 2, "8": 1, EOS: 1}
     assert index.postings().where(F.col("token") == "7").count() == 2
+
+
+def counting(spark, rows, schema="doc long, toks array<string>"):
+    """A table, and an accumulator of how many of its rows were worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def see(_):
+        seen.add(1)
+        return True
+
+    return spark.createDataFrame(rows, schema).where(see.asNondeterministic()(F.col("doc"))), seen
+
+
+def test_rarest_token_plan_works_out_documents_once(spark):
+    docs, seen = counting(spark, [(k, ["a", "b", "c", EOS]) for k in range(5)])
+    found = match.by_rarest_token(docs, keys(spark, "a b c", "b a"))
+    assert found.count() == 5
+    assert seen.value == 5
+
+
+def test_documents_of_title_starts_are_worked_out_once(spark, monkeypatch):
+    docs, seen = counting(spark, [(k, ["a", "b", "c"]) for k in range(5)])
+    monkeypatch.setattr(catalogue, "corpus", lambda spark, sf_dir: docs)
+    assert [tuple(r) for r in catalogue.title_prefix_match(spark, "").collect()] == [(f"{EOS} a b", 5)]
+    assert seen.value == 5
+
+
+def test_counts_of_all_runs_look_no_key_up(spark, monkeypatch):
+    index = CorpusIndex.build(spark.createDataFrame([(1, list("abab")), (2, list("ba")), (3, ["a"])], "doc long, toks array<string>"))
+    expected = {"a b": 2, "b a": 2}
+    pairs = match.runs(index.docs, [2]).where(~F.col("ngram").endswith(EOS))
+    assert {r.ngram: r["count"] for r in index.counts(match.as_keys(pairs)).collect()} == expected
+    monkeypatch.setattr(match, "occurrences", None)
+    assert {r.ngram: r["count"] for r in index.run_counts(2).collect()} == expected
+
+
+def test_windows_cross_pieces(spark, monkeypatch):
+    monkeypatch.setattr(match, "PIECE", 3)
+    toks = [f"t{k}" for k in range(8)]
+    docs = spark.createDataFrame([(1, toks)], "doc long, toks array<string>")
+    rows = sorted((r.pos, r.t1, r.t2, r.t3) for r in match.windows(docs, 3, EOS).collect())
+    padded = [EOS, *toks, None, None]
+    assert rows == [(k - 1, *padded[k : k + 3]) for k in range(9)]
+
+
+def test_texts_are_left_out_only_if_cleaning_leaves_nothing(spark):
+    texts = [" \t\n", "BULLET::::", "SECBULLET::::TION::::", "BULSECTION::::LET::::", "TION", "a\u00a0\r\n b", "x \x0b\f y", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("title", F.lit("t"))
+    got = {r.doc: (r.text, r.toks) for r in build_corpus(rows, include_title=False, lowercase=True).collect()}
+    assert got == {3: ("BULLET::::", ["bullet::::"]), 4: ("TION", ["tion"]), 5: ("a\u00a0 b", ["a\u00a0", "b"]), 6: ("x y", ["x", "y"])}

@@ -187,3 +187,12 @@ def test_stream_of_queries(spark, tmp_path):
     answer(stream, Searcher(index, Options(smoothing=0.5), CountScorer(mu=1.0)), 1, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select(F.col("query"), F.col("doc")).collect()
     assert [tuple(r) for r in got] == [(5, 2)]
+
+
+def test_tokens_are_not_moved_for_draws(spark):
+    docs = spark.createDataFrame([(1, "t", "a b", ["a", "b"])], "doc long, title string, text string, toks array<string>")
+    pairs = training.random_pairs(docs, 2, "seed", titles=1)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :].splitlines()[1]
+    assert "Project" in window and "toks#" not in window.split(" AS ")[-1] and not window.rstrip().endswith("...")
+    assert "array_join(slice(toks" not in plan[: plan.index("Window")]
