@@ -140,12 +140,6 @@ class CorpusIndex:
         """(ngram, count) for the keys that occur."""
         return self.occurrences(keys, titles).groupBy("ngram").agg(F.count("*").alias("count"))
 
-    def run_counts(self, n: int) -> DataFrame:
-        """(ngram, count) of every run of n tokens before the end token: as counts() of all of them as keys, without looking them up."""
-        # after the tokens of a run there is one more at least, the end token
-        runs = match.windows(self.docs, n + 1).where(F.col(f"t{n + 1}").isNotNull())
-        return runs.groupBy(match.joined(n).alias("ngram")).agg(F.count("*").alias("count"))
-
     def documents(self, keys: DataFrame) -> DataFrame:
         """Distinct (ngram, doc)."""
         return self.occurrences(keys).select("ngram", "doc").distinct()

@@ -144,3 +144,12 @@ def occurrences(docs: DataFrame, keys: DataFrame, eos_before: str | None = None)
 def as_keys(ngrams: DataFrame) -> DataFrame:
     """Distinct (ngram, n) of a table with a column ngram."""
     return ngrams.select("ngram", F.size(F.split("ngram", " ")).alias("n")).distinct()
+
+
+def run_counts(rows: DataFrame, sequence: str, order: list[str], token: str, n: int) -> DataFrame:
+    """(ngram, count) of every run of n tokens of sequences given as rows: as counting all of them as keys, but no sequence is put together and no key looked up."""
+    following = [F.lead(F.col(token).cast("string"), k).over(W.partitionBy(sequence).orderBy(*order)).alias(f"t{k}") for k in range(n)]
+    each = [F.col(token).cast("string").alias("t0"), *following[1:]]
+    runs_ = rows.select(*each).where(F.col(f"t{n - 1}").isNotNull())
+    parts = [p for k in range(n) for p in (F.lit(" "), F.col(f"t{k}"))][1:]
+    return runs_.groupBy(F.concat(*parts).alias("ngram")).agg(F.count("*").alias("count"))

@@ -131,7 +131,10 @@ def test_counts_of_all_runs_look_no_key_up(spark, monkeypatch):
     pairs = match.runs(index.docs, [2]).where(~F.col("ngram").endswith(EOS))
     assert {r.ngram: r["count"] for r in index.counts(match.as_keys(pairs)).collect()} == expected
     monkeypatch.setattr(match, "occurrences", None)
-    assert {r.ngram: r["count"] for r in index.run_counts(2).collect()} == expected
+    rows = index.docs.select("doc", F.posexplode("toks").alias("pos", "token")).where(F.col("token") != EOS)
+    found = match.run_counts(rows.orderBy(F.desc("pos")), "doc", ["pos"], "token", 2)
+    assert {r.ngram: r["count"] for r in found.collect()} == expected
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_windows_cross_pieces(spark, monkeypatch):
